@@ -60,7 +60,9 @@ def split_packed(df: DataFrame, column: str, out: str, layout: Layout) -> DataFr
     one that belongs to an inner bracket stays. Null, empty and `[]` give an empty array.
 
     Everything is a built-in expression in one projection: no shuffle and no Python. The steps are
-    separate columns, because an expression used twice would be evaluated twice.
+    separate columns, because an expression used twice would be evaluated twice. For the same reason
+    unpack `out` with `explode_outer` and drop the nulls: `explode` makes the optimizer push a filter
+    on the array below all the steps, with each step written out wherever the next one uses it.
     """
     t, p, u, m, b = (f"__{out}_{x}" for x in ("text", "pieces", "spans", "masked", "body"))
     c = lambda name: F.col(f"`{name}`")

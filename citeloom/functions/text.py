@@ -44,6 +44,14 @@ def plain_form(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, rf"{SPACE}++", " ")))
 
 
+def doi_key_or_empty(c: Column) -> Column:
+    """As `doi_key`, but the empty text where there is no DOI."""
+    gap = r"[^A-Za-z0-9/.\-]{0,3}"
+    tail = F.regexp_extract(c, rf"(?s)(?<![0-9])1{gap}0{gap}[.·．]{gap}[0-9].*", 0)
+    # Nearly all start with it; they need no search.
+    return F.lower(F.regexp_replace(F.when(c.startswith("10."), c).otherwise(tail), "[^A-Za-z0-9]++", ""))
+
+
 def doi_key(c: Column) -> Column:
     """Letters a-z and digits from the leading `10.` on, lower-case; null where there is no DOI.
 
@@ -51,7 +59,4 @@ def doi_key(c: Column) -> Column:
     that ends a sentence (`in 2010. Then`) is no DOI. Dots and digits may be set apart by spaces or
     invisible characters.
     """
-    gap = r"[^A-Za-z0-9/.\-]{0,3}"
-    tail = F.regexp_extract(c, rf"(?s)(?<![0-9])1{gap}0{gap}[.·．]{gap}[0-9].*", 0)
-    key = F.lower(F.regexp_replace(tail, "[^A-Za-z0-9]", ""))
-    return F.when(F.length(key) > 0, key)
+    return F.nullif(doi_key_or_empty(c), F.lit(""))
