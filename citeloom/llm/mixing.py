@@ -15,6 +15,8 @@ from citeloom.session import materialize
 BLOCKS = 100_000
 #: A source is cut into shards of about so many tokens, MOST_SHARDS at most: a shard is one task's work, and rounds by up to half a text.
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 10_000
+#: Times that the gap of a shard's last round is filled.
+FILLS = 4
 #: Sources are listed on the driver; more are refused.
 MOST_SOURCES = 100_000
 
@@ -77,7 +79,7 @@ def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens:
 
     The total is cut into equal blocks of tokens, and Sainte-Lague's quotients give each source its
     blocks, and each shard of a source its part of them. In a shard all texts are repeated as often as
-    its blocks go round, and a last round takes texts in seeded order up to the size left. Shards are by
+    its blocks go round, and a last round takes texts in seeded order that fit into the size left. Shards are by
     seeded hash, so one large source is spread over all of them, and the same seed gives the same mix.
     Sources with a weight but no tokens get nothing; their share is missing from the total.
     """
@@ -121,8 +123,15 @@ def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens:
     spark = documents.sparkSession
     plan = F.broadcast(spark.createDataFrame(wanted, "source string, shard int, rounds bigint, rest bigint"))  # at most sources x shards rows
     joined = sized.join(plan, ["source", "shard"], "left")
-    before = F.sum("n_tokens").over(Window.partitionBy("source", "shard").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    extra = F.when((F.col("rest") > 0) & (before + F.col("n_tokens") / 2 <= F.col("rest")), 1).otherwise(0)
+    group = Window.partitionBy("source", "shard")
+    run = group.orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    # The last round takes texts in seeded order as long as they fit, then those that fit into the gap left, and so on.
+    joined = joined.withColumns({"gap": F.coalesce("rest", F.lit(0)), "taken": F.lit(False)})
+    for _ in range(FILLS):
+        joined = joined.withColumn("fits", ~F.col("taken") & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= F.col("gap")))
+        joined = joined.withColumn("new", F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("n_tokens")).otherwise(0)).over(run) <= F.col("gap")))
+        joined = joined.withColumns({"gap": F.col("gap") - F.sum(F.when(F.col("new"), F.col("n_tokens")).otherwise(0)).over(group), "taken": F.col("taken") | F.col("new")})
+    extra = F.col("taken").cast("int")
     repeats = F.when(F.col("n_tokens") > 0, F.coalesce(F.col("rounds") + extra, F.lit(0))).otherwise(0).cast("int")
     copies = joined.select("doc_id", "source", "n_tokens", repeats.alias("repeats"))
 
