@@ -75,6 +75,7 @@ class TermIndex:
         self.fillers, self.most_edits = fillers, most_edits
         self.exact: dict[str, int] = {}
         self.tokens: dict[int, list[str]] = {}
+        self.written: dict[int, list[str]] = {}
         aliases: dict[str, int] = {}
         self.joined: dict[str, int] = {}
         self.by_word: dict[str, set[int]] = defaultdict(set)
@@ -87,6 +88,7 @@ class TermIndex:
                 continue
             self.exact[plain] = i
             self.tokens[i] = parts
+            self.written[i] = fold(term).split()
             for alias in self._aliases(parts):
                 aliases.setdefault(" ".join(alias), i)
                 self.joined.setdefault("".join(alias), i)
@@ -130,7 +132,7 @@ class TermIndex:
         found = self.joined.get("".join(parts))
         if found is None:
             found = self._mention(parts)
-        return self._similar(typed) if found is None else found
+        return self._similar(typed, fold(plain).split()) if found is None else found
 
     def _mention(self, parts: list[str]) -> int | None:
         text = f" {' '.join(parts)} "
@@ -145,15 +147,15 @@ class TermIndex:
         rest = (text[:start] + " " + text[start + n :]).split()
         return i if all(w in self.fillers or w.isdigit() for w in rest) else None
 
-    def _similar(self, typed: list[str]) -> int:
+    def _similar(self, typed: list[str], written: list[str]) -> int:
         best = (self.most_edits + 1, 0, UNMATCHED)
         lean = [w for w in typed if w not in self.fillers]
         for attempt in ([typed, lean] if lean != typed else [typed]):
             if attempt:
-                best = min(best, self._nearest(attempt))
+                best = min(best, self._nearest(attempt, written))
         return best[2]
 
-    def _nearest(self, typed: list[str]) -> tuple[int, int, int]:
+    def _nearest(self, typed: list[str], written: list[str]) -> tuple[int, int, int]:
         votes: Counter[int] = Counter()
         for w in set(typed):
             alike: set[str] = set()
@@ -171,6 +173,9 @@ class TermIndex:
             cost, moved = self._pairing(typed, parts)
             if cost > self.most_edits and len(together) >= 8:
                 cost, moved = distance(together, "".join(parts), self.most_edits), 0
+            if cost > self.most_edits and len(written) == len(self.written[i]) and any(w.endswith(".") for w in written):
+                # A word shortened within or beside its hyphen.
+                cost, moved = sum(self._word(a, b) for a, b in zip(written, self.written[i])), 0
             best = min(best, (cost, moved, i))
         return best if best[0] <= self.most_edits else (self.most_edits + 1, 0, UNMATCHED)
 

@@ -131,7 +131,11 @@ def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens:
         joined = joined.withColumn("fits", ~F.col("taken") & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= F.col("gap")))
         joined = joined.withColumn("new", F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("n_tokens")).otherwise(0)).over(run) <= F.col("gap")))
         joined = joined.withColumns({"gap": F.col("gap") - F.sum(F.when(F.col("new"), F.col("n_tokens")).otherwise(0)).over(group), "taken": F.col("taken") | F.col("new")})
-    extra = F.col("taken").cast("int")
+    # What is left may be nearer to one more text than to none.
+    last = ~F.col("taken") & (F.col("n_tokens") > 0) & (F.col("n_tokens") < 2 * F.col("gap"))
+    joined = joined.withColumn("last", last)
+    nth = F.row_number().over(group.orderBy(F.col("last").desc(), "n_tokens", "turn", "doc_id"))
+    extra = (F.col("taken") | (F.col("last") & (nth == 1))).cast("int")
     repeats = F.when(F.col("n_tokens") > 0, F.coalesce(F.col("rounds") + extra, F.lit(0))).otherwise(0).cast("int")
     copies = joined.select("doc_id", "source", "n_tokens", repeats.alias("repeats"))
 
