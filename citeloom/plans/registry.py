@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import problems
+from citeloom.plans import problems, reference
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return problems.p5_title_stats(spark, sf)
+    return reference.journal_enhanced_topk(spark, sf)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return reference.QUERIES | problems.QUERIES
 
 
 def oracles() -> dict[str, str]:
