@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import problems, reference
+from citeloom.plans import oracle_sql, problems, reference
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,4 +16,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(oracle_sql.REFERENCE)
