@@ -210,3 +210,52 @@ REFERENCE = {
     "journal_topk_keywords": q(THEMES, select="select journal, place::integer place, keyword, n from tt"),
     "theme_prompt": q(THEMES, select="select journal, string_agg(keyword, ', ' order by place) keywords, journal || ': ' || string_agg(keyword, ', ' order by place) prompt from tt group by 1"),
 }
+
+
+# The general problems. Here a field is read token by token, where the engine works with placeholders.
+
+def values_of(x: str, hard: str, soft: str = "") -> str:
+    """List of the values packed in a field."""
+    every = (hard + soft).replace("|", "\\|")
+    text = strip(f"coalesce({x}, '')")
+    inner = f"substr({text}, 2)"
+    body = f"case when not starts_with({text}, '[') then {text} when ends_with({text}, ']') and length({inner}) - length(replace({inner}, ']', '')) > length({inner}) - length(replace({inner}, '[', '')) then substr({text}, 2, length({text}) - 2) else {inner} end"
+    token = lit(rf"""(?s)[\s{every}]*("(?:[^"\\]|\\.|"")*"|'(?:[^'\\]|\\.|'')*'|[^{hard.replace("|", "\\|")}]+)""")
+    bare = unescape("replace(substr(q, 2, length(q) - 2), repeat(q[1], 2), q[1])")
+    one = f"case when length(q) > 1 and q[1] in ('\"', '''') and q[-1] = q[1] then {strip(bare)} else q end"
+    nothing = f"('', '{soft}')"  # a soft separator that ends a list
+    return f"[v for v in [{one} for q in [{strip('t')} for t in regexp_extract_all({body}, {token}, 1)]] if v not in {nothing}]"
+
+
+def plain(x: str) -> str:
+    return f"lower(trim(regexp_replace({x}, '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+', ' ', 'g')))"
+
+
+GAP = r"[^A-Za-z0-9/.\-]{0,3}"
+
+
+def key_of(x: str) -> str:
+    return rf"nullif(lower(regexp_replace(regexp_extract({x}, '(?s)(?:^|[^0-9])(1{GAP}0{GAP}[.·．]{GAP}[0-9].*)', 1), '[^A-Za-z0-9]', '', 'g')), '')"
+
+
+SPLIT = f"""f as (select record_id, loaded_at, "DOI" doi, "Source Title" title, {values_of('"Keywords"', ';,|、' + chr(10))} kw, {values_of('"WoS Categories"', ';|/' + chr(10), ',')} ca, {values_of('citing', ';,|' + chr(10))} ci from data_with_citing)"""
+CITED = SPLIT + f""", w as (select *, {key_of('doi')} k, list_distinct([x for x in [{key_of('v')} for v in ci] if x is not null]) cited from f)"""
+ORPHANS = CITED + f""", e as (select record_id, loaded_at, unnest(cited) cited_doi from w),
+ here as (select k, min(coalesce(loaded_at, timestamp '0001-01-01')) first_at from w where k is not null group by k),
+ old as (select distinct {key_of('"DOI"')} k from target_data), gone as (select distinct {key_of('"DOI"')} k from withdrawn_papers),
+ o as (select record_id, loaded_at, cited_doi, case when cited_doi in (select k from gone where k is not null) then 'withdrawn' when old.k is null and here.k is null then 'missing' when old.k is null and first_at > loaded_at then 'late' end state
+ from e left join here on here.k = cited_doi left join old on old.k = cited_doi)"""
+
+PROBLEMS = {
+    "p2_found": f"with {ORPHANS} select record_id, cited_doi, state from o where state is not null",
+    "p2_orphans_by_month": f"with {ORPHANS} select 'data_with_citing' table_name, strftime(loaded_at, '%Y-%m') period, state, count(*) n_refs from o where state is not null group by 1, 2, 3",
+    "p5_found": f"""with {CITED} select 'Source Title' field_name, t key_value from (select {plain('title')} t from w) where t <> '' group by 2 having count(*) > 0.03 * (select count(*) from w)
+ union all select 'citing', k from (select unnest(cited) k from w) group by 2 having count(*) > 0.01 * (select sum(len(cited)) from w)""",
+    "p5_title_stats": f"""with {CITED}, t as (select {plain('title')} title, len(cited) n from w), m as (select title, n, count(*) c from t group by 1, 2 qualify row_number() over (partition by title order by count(*) desc, n) = 1)
+ select t.title, count(*) n_rows, sum(t.n)::bigint sum_refs, round(avg(t.n), 6) mean_refs, quantile_disc(t.n, 0.5)::bigint median_refs, min(t.n)::bigint min_refs, max(t.n)::bigint max_refs, count(distinct t.n) distinct_counts, any_value(m.n)::bigint usual_refs
+ from t join m on m.title is not distinct from t.title group by t.title""",
+    "p5_cited_stats": f"""with {CITED}, t as (select unnest(cited) cited_doi, {plain('title')} title from w), g as (select cited_doi, title, count(*) c from t group by 1, 2)
+ select cited_doi, sum(c)::bigint n_rows, count(title) n_titles, (array_agg(title order by c desc, title) filter (where title is not null))[1] top_value, (max(c) filter (where title is not null))::bigint top_weight from g group by 1""",
+    "p7_found": f"""with {SPLIT} select record_id, 'Keywords' field_name, generate_subscripts(kw, 1)::integer pos, unnest(kw) "value" from f union all select record_id, 'WoS Categories', generate_subscripts(ca, 1)::integer, unnest(ca) from f
+ union all select record_id, 'citing', generate_subscripts(ci, 1)::integer, unnest(ci) from f""",
+}

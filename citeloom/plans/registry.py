@@ -16,4 +16,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return dict(oracle_sql.REFERENCE)
+    return oracle_sql.REFERENCE | oracle_sql.PROBLEMS
