@@ -64,10 +64,11 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(field: str) -> Iterator[pa.RecordBatch]:
         codes, keys, counts, _ = parts.pop(field)
-        if keys:
+        keys, counts = _merge(keys, counts)
+        if len(keys):
             names = pa.array(list(codes), pa.string())
             blocks = np.fromiter((zlib.crc32(x.encode()) % BLOCKS for x in codes), np.int64, len(codes))
-            yield from _stripes(field, *_merge(keys, counts), names, blocks)
+            yield from _stripes(field, keys, counts, names, blocks)
 
     for batch in batches:
         fields = batch.column(0)
@@ -129,7 +130,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     and only whole arrays are shuffled. An item's array is cut into BLOCKS by neighbour, so that none
     holds all neighbours of a frequent item.
     """
-    items = rows.select("field_name", F.array_sort(F.array_distinct("items")).alias("items"))
+    items = rows.select("field_name", F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>")))).alias("items"))
     stripes = items.mapInArrow(_build, STRIPE)
     return stripes.repartition("field_name", "item_a", "block").sortWithinPartitions("field_name", "item_a").mapInArrow(_fold, PAIR)
 
@@ -175,7 +176,7 @@ def cooccurrence(rows: DataFrame, min_rows: int = 1, min_share: float = 0.0, mos
     rows count each.
     """
     totals = {r[0]: r[1] for r in rows.where(F.size(F.array_compact("items")) > 0).groupBy("field_name").agg(F.count("*")).collect()}  # one row a field
-    rows = rows.select("field_name", F.array_compact("items").alias("items"))
+    rows = rows.select("field_name", F.array_compact(F.coalesce("items", F.array().cast("array<string>"))).alias("items"))
     counts = item_counts(rows)
     need = F.lit(min_rows).cast("double")
     for field, total in totals.items():

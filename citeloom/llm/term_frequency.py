@@ -119,7 +119,7 @@ def term_bitmaps(rows: DataFrame) -> DataFrame:
     merges is larger than one container per partition. Null terms don't count; rows with a null id
     count as one record.
     """
-    clean = rows.select(F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 62))).alias("id"), F.array_compact("terms").alias("terms"))
+    clean = rows.select(F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 62))).alias("id"), F.array_compact(F.coalesce("terms", F.array().cast("array<string>"))).alias("terms"))
     parts = clean.mapInArrow(_build, CONTAINER)
     return parts.repartition("term", "chunk").sortWithinPartitions("term", "chunk").mapInArrow(_unite, CONTAINER)
 

@@ -47,7 +47,7 @@ def mapping() -> dict[int, str]:
         if rule.startswith(("<wide>", "<narrow>")) or 0xFB00 <= i <= 0xFB06:
             to = unicodedata.normalize("NFKC", c)
         else:
-            to = unicodedata.normalize("NFC", c)
+            to = unicodedata.normalize("NFD", c)
         to = unicodedata.normalize("NFC", "".join(alike.get(ord(x), x) for x in to))
         if to != c:
             out[i] = to
