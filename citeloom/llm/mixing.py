@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import pick
@@ -49,17 +49,18 @@ def sainte_lague(weights: Mapping[object, float], seats: int, caps: Mapping[obje
     return out
 
 
-def texts_of(documents: DataFrame, weights: DataFrame, size: Column | None = None) -> DataFrame:
-    """(doc_id, source, text): each distinct non-empty text once.
+def sized_texts(documents: DataFrame, weights: DataFrame, count_tokens) -> DataFrame:
+    """(doc_id, source, n_tokens): each distinct non-empty text once.
 
     A text in several rows stands for its least doc_id, among sources with a weight if it is in one:
-    the cap on repeats counts for the text, not for its copies. Copies are combined before the shuffle.
+    the cap on repeats counts for the text, not for its copies. Tokens are counted first, so that only
+    hashes and sizes are shuffled, and copies are combined before that.
     """
-    listed = F.broadcast(weights.select(F.col("source").alias("listed")).distinct())
-    rows = documents.join(listed, F.col("source") == F.col("listed"), "left").where("text is not null and text <> ''")
-    first = F.min(F.struct(F.col("listed").isNull().alias("other"), "doc_id", "source")).alias("first")
-    kept = rows.groupBy(F.unhex(F.sha2("text", 256)).alias("hash")).agg(first).select("first.doc_id", "first.source")
-    return documents.select("doc_id", "text").join(kept, "doc_id")
+    listed = F.broadcast(weights.select(F.col("source").alias("listed")).distinct())  # at most MOST_SOURCES rows
+    rows = documents.where("text is not null and text <> ''").withColumn("n_tokens", count_tokens(F.col("text")))
+    rows = rows.select("doc_id", "source", "n_tokens", F.unhex(F.sha2("text", 256)).alias("hash")).join(listed, F.col("source") == F.col("listed"), "left")
+    first = F.min(F.struct(F.col("listed").isNull().alias("other"), "doc_id", "source", "n_tokens")).alias("first")
+    return rows.groupBy("hash").agg(first).select("first.doc_id", "first.source", "first.n_tokens")
 
 
 def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens: int | None = None, seed: int = 0, shards: int | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
@@ -93,9 +94,8 @@ def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens:
     share = {k: v / whole for k, v in share.items()}
     most = {r["source"]: max(int(r["r"] or 0), 0) for r in rows}
 
-    texts = texts_of(documents, weights)
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    sized = materialize(texts.select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"), order.alias("turn")))
+    sized = sized_texts(documents, weights, count_tokens)
+    sized = materialize(sized.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id")))
     if shards is None:
         available = sized.agg(F.sum("n_tokens")).first()[0] or 0
         shards = min(MOST_SHARDS, 1 + available // SHARD_TOKENS)

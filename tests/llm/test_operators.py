@@ -183,7 +183,7 @@ def size(text):
 def corpus(spark):
     rng = random.Random(7)
     docs = [(i, " ".join(f"t{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 30))), rng.choices(["big", "mid", "tiny", "odd"], [60, 30, 3, 7])[0]) for i in range(2500)]
-    docs += [(9001, docs[0][1], "odd"), (9002, docs[0][1], docs[0][2]), (9003, None, "big"), (9004, "", "big"), (9005, "free text", None)]
+    docs += [(9001, docs[0][1], "odd"), (9002, docs[0][1], docs[0][2]), (9003, None, "big"), (9004, "", "big"), (9005, "free text", None), docs[0], docs[1], (None, docs[2][1], "big"), (None, "no id", "mid")]
     return spark.createDataFrame(docs, "doc_id long, text string, source string")
 
 
@@ -200,7 +200,8 @@ def test_mix(spark, total):
         assert all(abs(rows[s].reached_share - w) < 0.01 for s, w in (("big", 0.5), ("mid", 0.3), ("tiny", 0.2)))
     else:  # more than the corpus can give: all is repeated as often as allowed
         assert all(rows[s].mixed_tokens == most[s] * rows[s].available_tokens for s in most)
-    texts = docs.join(copies, "doc_id").where("repeats > 0").groupBy("text").agg(F.count("*").alias("n"))
+    assert copies.count() == docs.where("text <> ''").select("text").distinct().count()
+    texts = docs.distinct().join(copies, "doc_id").where("repeats > 0").groupBy("text").agg(F.count("*").alias("n"))
     assert texts.where("n > 1").count() == 0
     again = mixing.mix(docs, weights, size, total_tokens=total, seed=3, shards=3)[0]
     assert again.exceptAll(copies).count() == 0
