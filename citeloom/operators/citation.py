@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.session import materialize
+
 
 def edges(papers: DataFrame) -> DataFrame:
     """(src, dst): distinct citations of rows (id, refs); rows without an id cite nothing."""
@@ -29,14 +31,14 @@ def d_index(background: DataFrame, target: DataFrame) -> DataFrame:
     its citers: nj citers that cite R, ni the others, nk papers citing R that aren't in C (itself among
     them), d = (ni - nj) / (ni + nj + nk), 0 if nothing counts.
 
-    One large join (references of the targets with all citations of them) and one aggregation on
+    The graph is written once, as three branches read it. One large join (references of the targets with all citations of them) and one aggregation on
     (paper, citer); distinct pairs are combined before the shuffle, and a hub's citers are spread over
     the pairs' hash. AQE splits a hub in the join.
     """
     focal = target.where("id is not null").select("id").distinct()
     cites = background.where("id is not null").select("id", "row_no", F.explode("refs").alias("dst"))
     newest = background.where("id is not null").groupBy("id").agg(F.max("row_no").alias("newest"))
-    graph = cites.join(newest, "id").groupBy(F.col("id").alias("src"), "dst").agg(F.max(F.col("row_no") == F.col("newest")).alias("own"))
+    graph = materialize(cites.join(newest, "id").groupBy(F.col("id").alias("src"), "dst").agg(F.max(F.col("row_no") == F.col("newest")).alias("own")))
     refs = graph.where("own").join(focal, graph["src"] == focal["id"], "left_semi").select(F.col("src").alias("f"), "dst")
     # Citers of the references, with whether it is a current reference of the citer.
     around = refs.join(graph, "dst").select("f", F.col("src").alias("c"), F.lit(False).alias("citer"), F.lit(True).alias("near"), "own")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.session import materialize
+
 
 def category_counts(papers: DataFrame, distinct: bool, least: int) -> DataFrame:
     """OP-56: (i, j, n): symmetric co-occurrence of rows (categories), with the diagonal.
@@ -46,6 +48,7 @@ def shared(counts: DataFrame, similarity: DataFrame, most_broadcast: int = 1_000
 
     The similarity table is broadcast if it has at most `most_broadcast` cells, and shuffled otherwise.
     """
+    similarity = materialize(similarity)
     total = counts.groupBy("row").agg(F.sum("n").alias("total"), F.count("*").alias("n_categories"))
     p = counts.join(total, "row").select("row", "category", (F.col("n") / F.col("total")).alias("p"), "n_categories")
     cells = F.broadcast(similarity) if similarity.count() <= most_broadcast else similarity

@@ -55,7 +55,7 @@ def key_percentile(weighted: DataFrame, p: float, parts: int = 256) -> DataFrame
     ranges = held.groupBy("key", "part").agg(F.sum("weight").alias("w"))
     by_key = Window.partitionBy("key")
     upto = by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumns({"before": F.coalesce(F.sum("w").over(upto), F.lit(0)), "need": F.ceil(F.sum("w").over(by_key) * F.lit(p))})
+    ranges = ranges.withColumns({"before": F.coalesce(F.sum("w").over(upto), F.lit(0)), "need": F.ceil(F.round(F.sum("w").over(by_key) * F.lit(p), 6))})
     ranges = ranges.where("before < need and before + w >= need").select(F.col("key").alias("k"), F.col("part").alias("r"), "before", "need")
     inside = held.join(ranges, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("r")))
     run = Window.partitionBy("key", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import parsing as P
 from citeloom.functions.text import pick
 from citeloom.operators import citation, diversity, entropy, ingest, novelty, ranking, themes
+from citeloom.session import materialize
 
 FIELDS = {
     "doi": "DOI", "title": "Source Title", "typed_year": "Publication Year", "typed_keywords": "Keywords", "typed_categories": "WoS Categories", "citing": "citing",
@@ -288,7 +289,7 @@ def _ku(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def _ku_counts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     names, rows = _ku(spark, sf)
-    found = diversity.reference_categories(rows, names)
+    found = materialize(diversity.reference_categories(rows, names))
     sets = found.groupBy("row").agg(F.collect_list("category").alias("categories"))
     return diversity.category_counts(sets, distinct=True, least=1), found, rows
 

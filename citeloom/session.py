@@ -31,13 +31,13 @@ def build_session(master: str | None = None, app: str = "citeloom", **conf: str)
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
-    Only a session on a `local[...]` master may fall back to a folder of this machine; a cluster
+    Only a session on a `local` master may fall back to a folder of this machine; a cluster
     without the setting gets an error, because its executors share no such folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = "file://" + tempfile.mkdtemp(prefix="citeloom-")
     spark.conf.set("spark.checkpoint.dir", local)
