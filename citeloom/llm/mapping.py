@@ -39,8 +39,19 @@ def words(text: str) -> list[str]:
 
 def distance(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap of neighbours) between a and b, or most + 1 if more."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # Equal ends cost nothing; what is left between them is short.
+    start, ends = 0, min(len(a), len(b))
+    while start < ends and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
     before: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -81,6 +92,7 @@ class TermIndex:
         self.by_word: dict[str, set[int]] = defaultdict(set)
         self.near: dict[str, set[str]] = defaultdict(set)
         self.begins: dict[str, set[str]] = defaultdict(set)
+        self.measured: dict[tuple[str, str], int] = {}
         for i, term in sorted(t for t in terms if t[0] is not None and t[1]):
             plain = " ".join(term.lower().split())
             parts = [w.rstrip(".") for w in words(term)]
@@ -171,7 +183,8 @@ class TermIndex:
             if n < len(parts) - 1 and n < len(typed) - 1:
                 continue
             cost, moved = self._pairing(typed, parts)
-            if cost > self.most_edits and len(together) >= 8:
+            if cost > self.most_edits and len(together) >= 8 and (len(typed) != len(parts) or sum(w not in parts for w in typed) > 1):
+                # Word ends may be in other places.
                 cost, moved = distance(together, "".join(parts), self.most_edits), 0
             if cost > self.most_edits and len(written) == len(self.written[i]) and any(w.endswith(".") for w in written):
                 # A word shortened within or beside its hyphen.
@@ -180,26 +193,39 @@ class TermIndex:
         return best if best[0] <= self.most_edits else (self.most_edits + 1, 0, UNMATCHED)
 
     def _pairing(self, typed: list[str], parts: list[str]) -> tuple[int, int]:
-        """(edits, 1 if the order differs) of the best pairing of all words; by word order first."""
+        """(edits, 1 if the order differs) of the best pairing of all words; by word order first, then equal words with each other."""
         if len(typed) != len(parts):
             return self.most_edits + 1, 1
-        cost = [[self._word(a, b) for b in parts] for a in typed]
-        straight = sum(cost[k][k] for k in range(len(parts)))
-        if straight <= self.most_edits:
-            return straight, 0
-        if len(parts) > 6:  # then only words moved from one end to the other
-            orders: Iterable = ([(k + d) % len(parts) for k in range(len(parts))] for d in range(1, len(parts)))
+        straight = 0
+        for a, b in zip(typed, parts):
+            straight += self._word(a, b)
+            if straight > self.most_edits:
+                break
         else:
-            orders = itertools.permutations(range(len(parts)))
-        return min(sum(cost[k][o] for k, o in enumerate(order)) for order in orders), 1
+            return straight, 0
+        rest, other = [], list(parts)
+        for w in typed:
+            if w in other:
+                other.remove(w)
+            else:
+                rest.append(w)
+        if len(rest) > 6:
+            return self.most_edits + 1, 1
+        cost = [[self._word(a, b) for b in other] for a in rest]
+        return min(sum(cost[k][o] for k, o in enumerate(order)) for order in itertools.permutations(range(len(other)))), 1
 
     def _word(self, typed: str, part: str) -> int:
         if typed.endswith(".") and len(typed) > 3 and part.startswith(typed[:-1]):
             return 0
-        typed = typed.rstrip(".")
-        most = 1 if min(len(typed), len(part)) < 5 else 2
-        d = distance(typed, part, most)
-        return d if d <= most else self.most_edits + 1
+        known = self.measured.get((typed, part))
+        if known is None:
+            word = typed.rstrip(".")
+            most = 1 if min(len(word), len(part)) < 5 else 2
+            d = distance(word, part, most)
+            if len(self.measured) >= 500_000:
+                self.measured.clear()
+            known = self.measured[typed, part] = d if d <= most else self.most_edits + 1
+        return known
 
 
 def map_values(df: DataFrame, terms: DataFrame, id_column: str = "record_id", column: str = "Keywords", layout: Layout = KEYWORDS, term_column: str = "term", term_id: str = "term_id", fillers: frozenset[str] = FILLERS, cache: int = 200_000) -> DataFrame:
