@@ -25,6 +25,12 @@ def timeline(background: DataFrame) -> DataFrame:
     return rows.groupBy("p.k1", "p.k2").agg(F.min("year").alias("first_year"))
 
 
+def reference_year(target: DataFrame, default: int) -> int:
+    """OP-53: the last year of the target rows, one number; `default` where none has a year."""
+    last = target.agg(F.max("year")).first()[0]
+    return default if last is None else last
+
+
 def papers_by_doi(papers: DataFrame) -> DataFrame:
     """(id, keywords, year, journal): per DOI the last row's keywords, the first row's year and journal."""
     rows = papers.where("id is not null")

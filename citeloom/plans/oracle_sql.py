@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from citeloom.functions.parsing import CONFERENCE_WORDS, KEYWORD_STOPS, TEXT_STOPS
+
 WS = "'" + " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000'"
 Q = r"""("([^"\\]|\\.)*"|'([^'\\]|\\.)*')"""
 LIST = rf"(?s)\[\s*({Q}(\s*,\s*{Q})*\s*,?\s*)?\]"
@@ -38,7 +40,7 @@ K = "typed_keywords"
 KEYWORDS_H = f"""case when {K} is null then {NONE} when {is_list(K)} then {items(K)} when contains({K}, ';') then {parts(K, ';')} when contains({K}, ',') then {parts(K, ',')}
  when contains({K}, '|') then {parts(K, '[|]')} when contains({K}, '、') then {parts(K, '、')} else [lower({strip(K)})] end"""
 S = strip(K)
-STOPS = "('review','studies','study','analysis','method','methods','approach','approaches','framework','model','system','based','using','via','case study','research','development')"
+STOPS = "(" + ", ".join(map(lit, KEYWORD_STOPS)) + ")"
 KEYWORDS_I = f"""list_sort(list_distinct([x for x in (case when {K} is null then {NONE} when {is_list(S)} then [lower({strip('y')}) for y in {items(S)} if {strip('y')} <> '']
  when starts_with({S}, '[') and ends_with({S}, ']') then [lower({S})] else {parts(S, '[;,]')} end) if length(x) > 1 and x not in {STOPS}]))"""
 KEYWORDS_TOPIC = f"case when {K} is null then {NONE} when {is_list(K)} then {items(K)} else {parts(K, '[,;]')} end"
@@ -146,8 +148,8 @@ THEMES = f"""th as (select journal, row_no, {keywords_theme(NONE)} k from bg whe
  tc as (select journal, keyword, count(*) n, min(row_no * 1000 + pos) f from tw where journal in (select journal from bg group by journal having count(*) >= 5) group by 1, 2),
  tt as (select *, row_number() over (partition by journal order by n desc, f) place from tc qualify place <= 5)"""
 CLEAN = r"""case when text is null then '' else trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'http[^\s\p{Z}]+|www[^\s\p{Z}]+', '', 'g'), '\p{Nd}+', '', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) end"""
-TEXT_STOPS = "('" + "','".join("the and for with that this these those from have has had were was are is be been being by in on at to of a an as or but not it its they them their we our you your he she his her my mine us ours".split()) + "')"
-CONFERENCE = "coalesce(" + " or ".join(f"contains(upper(\"name\"), '{w}')" for w in "CONFERENCE PROCEEDINGS SYMPOSIUM MEETING CONGRESS WORKSHOP PROC. CONF. SYMP.".split()) + " or regexp_matches(\"name\", '20[0-9]{2}'), false)"
+TEXT_STOPS_SQL = "(" + ", ".join(map(lit, TEXT_STOPS)) + ")"
+CONFERENCE = "coalesce(" + " or ".join(f"contains(upper(\"name\"), {lit(w)})" for w in CONFERENCE_WORDS) + " or regexp_matches(\"name\", '20[0-9]{2}'), false)"
 
 REFERENCE = {
     "keywords_parse_h": parsed(KEYWORDS_H),
@@ -164,7 +166,7 @@ REFERENCE = {
     "year_filter": q(select='select "row", "year" from bg where "year" >= 2010'),
     "text_clean": f"select doc_id, {CLEAN} cleaned from documents",
     "doc_top_terms": f"""with c as (select doc_id, string_split({CLEAN}, ' ') w from documents), x as (select doc_id, unnest(w) word, generate_subscripts(w, 1) pos from c),
- n as (select doc_id, word, count(*) n, min(pos) f from x where length(word) >= 3 and regexp_full_match(word, '\\p{{L}}+') and word not in {TEXT_STOPS} group by 1, 2)
+ n as (select doc_id, word, count(*) n, min(pos) f from x where length(word) >= 3 and regexp_full_match(word, '\\p{{L}}+') and word not in {TEXT_STOPS_SQL} group by 1, 2)
  select doc_id, row_number() over (partition by doc_id order by n desc, f)::integer place, word, n from n qualify place <= 15""",
     "term_source_both": q(select=f'select "row", unnest(list_distinct(list_concat({KEYWORDS_TOPIC}, {KEYWORDS_TOPIC.replace(K, chr(34) + "name" + chr(34))}))) term from bg'),
     "label_truncation": q(select="select distinct journal, case when length(journal) > 28 then substr(journal, 1, 28) || '...' else journal end \"label\" from bg where journal is not null"),

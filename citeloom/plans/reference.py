@@ -193,7 +193,7 @@ def _keywords_i(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def _last_year(rows: DataFrame) -> int:
-    return rows.agg(F.max("year")).first()[0] or 2024
+    return novelty.reference_year(rows, 2024)
 
 
 def pair_timeline(spark, sf):
