@@ -82,7 +82,9 @@ def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens:
     blocks, and each shard of a source its part of them. In a shard all texts are repeated as often as
     its blocks go round, and a last round takes texts in seeded order that fit into the size left. Shards are by
     seeded hash, so one large source is spread over all of them, and the same seed gives the same mix.
-    Sources with a weight but no tokens get nothing; their share is missing from the total.
+    Sources with a weight but no tokens, or that may not occur, get nothing; the others keep their
+    proportions. Null and empty texts are never in the mix. Repeated rows count once. With no documents
+    or no weights nothing is mixed and all shares are 0.
     """
     documents = pick(documents, {"doc_id": "doc_id", "text": "text", "source": "source"})
     weights = pick(weights, {"source": "source", "w": "target_weight", "r": "max_repeats"})

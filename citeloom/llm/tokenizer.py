@@ -217,7 +217,12 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 
 
 def encode_corpus(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids): each row once, no shuffle."""
+    """(doc_id, ids): each row once, no shuffle and no Python beyond the encoder.
+
+    Null and empty texts have an empty list. Repeated rows, equal ids and null ids come out as they
+    stand, an empty table gives an empty result, and other columns aren't read. Without a path the
+    installed public vocabulary `byte_bpe_50k` is used.
+    """
     from citeloom.functions.text import pick
 
     if path is None or pattern is None:
