@@ -162,7 +162,9 @@ def one_form(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     marked = (F.char_length("piece") > 1) & F.col("piece").rlike(r"\p{M}")
     pieces = pieces.select("h", "pos", F.coalesce("one", "piece").alias("out"), F.when(marked, F.col("piece")).alias("cluster"))
 
-    clusters = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(clean, F.lit(r"(?s)\P{M}\p{M}++|\p{M}{2,}+"), F.lit(0)))).alias("piece")).distinct()
+    with_marks = texts.where(F.col("text").rlike(r"\p{M}"))
+    found = F.array_distinct(F.regexp_extract_all(clean, F.lit(r"(?s)\P{M}\p{M}++|\p{M}{2,}+"), F.lit(0)))
+    clusters = with_marks.select(F.explode_outer(found).alias("piece")).where("piece is not null").distinct()  # explode alone would evaluate its array twice
     composed = materialize(_composed(clusters, forms.drop("one"), classes, _rows()[2])).select(F.col("piece").alias("cluster"), "composed")
     if composed.count() <= MOST_CLUSTERS:
         composed = F.broadcast(composed)
