@@ -339,7 +339,7 @@ def field_match_fuzzy(spark, sf):
 
 
 def _shares(spark, sf) -> DataFrame:
-    return entropy.field_shares(_field_rows(spark, sf), field_match_exact(spark, sf))
+    return entropy.field_shares(_field_rows(spark, sf), field_match_fuzzy(spark, sf))
 
 
 def field_shares(spark, sf):
