@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from citeloom.session import materialize
 
+#: A wide matrix with more columns is refused; its cells in long form have no bound.
+MOST_COLUMNS = 10_000
+
 
 def category_counts(papers: DataFrame, distinct: bool, least: int) -> DataFrame:
     """OP-56: (i, j, n): symmetric co-occurrence of rows (categories), with the diagonal.
@@ -69,6 +72,14 @@ def td_from_similarity(z: Column) -> Column:
     return F.coalesce(F.when(z > 0, 1 / z), F.lit(1.0))
 
 
+def names_of(similarity: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
+    """All categories of the similarity table in order; more than `most` raise."""
+    names = [r[0] for r in similarity.select("i").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} categories; take the cells in long form")
+    return sorted(names)
+
+
 def wide(similarity: DataFrame, names: list[str]) -> DataFrame:
     """OP-09: one row per category, one column per name, 0 where nothing is known."""
     return similarity.groupBy(F.col("i").alias("category")).pivot("j", names).agg(F.first("s")).na.fill(0.0)

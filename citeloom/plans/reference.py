@@ -313,10 +313,14 @@ def journal_td_ku(spark, sf):
 
 
 def similarity_matrix_wide(spark, sf):
-    names = ["Optics, Free-Space", "Sleep Research", "Soil Physics"]
-    cells = diversity.salton(diversity.category_counts(_categories(spark, sf)[0], distinct=False, least=2)).where(F.col("j").isin(names))
-    wide = diversity.wide(cells, names).withColumnsRenamed({n: f"s{k}" for k, n in enumerate(names)})
-    return wide.select("category", *r6("s0", "s1", "s2"))
+    """All categories by all categories; column s<k> belongs to the category at place k, as spellings that differ in case can't name columns."""
+    cells = materialize(diversity.salton(diversity.category_counts(_categories(spark, sf)[0], distinct=False, least=2)).select("i", "j", *r6("s")))
+    names = diversity.names_of(cells)
+    place = {n: k for k, n in enumerate(names)}
+    numbered = spark.createDataFrame(list(place.items()), "category string, place int")
+    columns = numbered.select(F.col("category").alias("j"), F.concat(F.lit("s"), "place").alias("column"))
+    placed = cells.join(F.broadcast(columns), "j").select("i", F.col("column").alias("j"), "s")
+    return diversity.wide(placed, [f"s{k}" for k in place.values()]).join(F.broadcast(numbered), "category")
 
 
 # Entropy

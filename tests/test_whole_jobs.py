@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from citeloom.operators import diversity
 from citeloom.plans import reference
 
 COLUMNS = "DOI string, `Source Title` string, `Publication Year` string, Keywords string, `WoS Categories` string, citing string, citations string, `Article Title` string, Abstract string"
@@ -80,3 +81,23 @@ def test_journals_count_similar_keywords(spark, keyword_tables):
         assert (r.n_papers, r.entropy_mean, r.fields_mean) == (len(rows), pytest.approx(mean, abs=1e-6), pytest.approx(sum(f for _, f in rows) / len(rows), abs=1e-6))
         assert r.percent_score == pytest.approx(mean * 500, abs=1e-3)
     assert not want
+
+
+CATEGORIES = ["a; b", "A;b", "b; c", "c. d; b; e", "f", "g; g", None]
+
+
+def test_matrix_has_all_categories(spark, tmp_path):
+    sf = save(spark, tmp_path / "t", [{"DOI": str(n), "WoS Categories": c} for n, c in enumerate(CATEGORIES)])
+    counts = Counter()
+    for text in CATEGORIES:
+        cs = [c.strip() for c in (text or "").split(";")]
+        counts.update((a, b) for a in cs for b in cs if len(cs) > 1)
+    names = sorted({a for a, _ in counts})
+    norm = {a: math.sqrt(sum(counts[a, c] ** 2 for c in names)) for a in names}
+    want = {a: [1.0 if a == b else round(sum(counts[a, c] * counts[b, c] for c in names) / norm[a] / norm[b], 6) for b in names] for a in names}
+    got = {r.category: r for r in reference.similarity_matrix_wide(spark, sf).collect()}
+    assert names == ["A", "a", "b", "c", "c. d", "e", "g"] and set(got) == set(names)
+    assert {a: [r[f"s{k}"] for k in range(len(names))] for a, r in got.items()} == want
+    assert [got[a].place for a in names] == list(range(len(names)))
+    with pytest.raises(ValueError):
+        diversity.names_of(spark.createDataFrame([("a", "a"), ("b", "b")], "i string, j string"), 1)
