@@ -78,8 +78,11 @@ def doc_top_terms(spark, sf):
 
 
 def term_source_both(spark, sf):
-    rows = background(spark, sf).select("row", P.keywords_by_comma_or_semicolon(F.col("typed_keywords")).alias("k"), P.keywords_by_comma_or_semicolon(F.col("name")).alias("t"))
-    return rows.select("row", F.explode(themes.terms_from(F.col("k"), F.col("t"), "both")).alias("term"))
+    rows = background(spark, sf)
+    top = themes.top_terms(rows.where("abstract is not null").select(F.col("row").alias("id"), F.col("abstract").alias("text")), k=15)
+    words = top.groupBy(F.col("id").alias("row")).agg(F.collect_list("word").alias("a"))
+    both = rows.select("row", P.keywords_by_comma_or_semicolon(F.col("typed_keywords")).alias("k")).join(words, "row", "left")
+    return both.select("row", F.explode(themes.terms_from(F.col("k"), F.coalesce("a", P.empty()), "both")).alias("term"))
 
 
 def label_truncation(spark, sf):

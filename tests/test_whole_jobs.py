@@ -101,3 +101,20 @@ def test_matrix_has_all_categories(spark, tmp_path):
     assert [got[a].place for a in names] == list(range(len(names)))
     with pytest.raises(ValueError):
         diversity.names_of(spark.createDataFrame([("a", "a"), ("b", "b")], "i string, j string"), 1)
+
+
+ABSTRACTS = [
+    ("Tides; the moon", "The tides, THE tides of 2020: see http://x.y/moon; moon moon moon and sand.", "Whole title, not a term"),
+    (None, " ".join(f"word{chr(97 + n)} " * (2 if n > 9 else 1) for n in range(20)), "Title"),
+    ("moon, Moon", None, "Title"),
+    (None, None, "Title"),
+    ("['Moon']", "moon a1 an ox", "Title"),
+]
+
+
+def test_terms_come_from_abstracts(spark, tmp_path):
+    sf = save(spark, tmp_path / "t", [{"Keywords": k, "Abstract": a, "Article Title": t} for k, a, t in ABSTRACTS])
+    got = sorted((r.row, r.term) for r in reference.term_source_both(spark, sf).collect())
+    # Words in two places first, then by place: k to t, and a to e.
+    want = {0: ["tides", "the moon", "moon", "see", "sand"], 1: [f"word{c}" for c in "klmnopqrstabcde"], 2: ["moon"], 4: ["Moon", "moon"]}
+    assert got == sorted((row_of(n), t) for n, ts in want.items() for t in ts)
