@@ -51,40 +51,40 @@ def d_index(background: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def score_rows(target: DataFrame, scores: DataFrame, null_keys: str = "skip") -> DataFrame:
-    """OP-36: (id, journal, d), a row per target row and score of its id.
+    """OP-36: (id, periodical, d), a row per target row and score of its id.
 
     `skip` leaves out rows without an id. `match` keeps the faithful form: one score of 0 per row, and
     null matches null, so k rows without an id give k times k rows and equal ids square as well.
     """
     if null_keys == "skip":
-        return target.where("id is not null").select("id", "journal").join(scores.select("id", "d"), "id")
+        return target.where("id is not null").select("id", "periodical").join(scores.select("id", "d"), "id")
     if null_keys != "match":
         raise ValueError(null_keys)
     per_row = target.select(F.col("id").alias("sid")).join(scores.select("id", "d"), F.col("sid") == F.col("id"), "left").select("sid", F.coalesce("d", F.lit(0.0)).alias("d"))
-    return per_row.join(target.select("id", "journal"), F.col("sid").eqNullSafe(F.col("id")), "left").select("id", "journal", "d")
+    return per_row.join(target.select("id", "periodical"), F.col("sid").eqNullSafe(F.col("id")), "left").select("id", "periodical", "d")
 
 
-def journal_mean(rows: DataFrame) -> DataFrame:
-    """OP-50: (journal, disruption_mean, paper_count); null journals don't count, null ids don't add to paper_count."""
-    return rows.where("journal is not null").groupBy("journal").agg(F.avg("d").alias("disruption_mean"), F.count("id").alias("paper_count"))
+def periodical_mean(rows: DataFrame) -> DataFrame:
+    """OP-50: (periodical, disruption_mean, paper_count); null periodicals don't count, null ids don't add to paper_count."""
+    return rows.where("periodical is not null").groupBy("periodical").agg(F.avg("d").alias("disruption_mean"), F.count("id").alias("paper_count"))
 
 
-def journal_enhanced(rows: DataFrame, top_k: int = 10, volume_weight: float = 0.4) -> DataFrame:
-    """OP-51: (journal, n_papers, top_k_mean, enhanced_disruption).
+def periodical_enhanced(rows: DataFrame, top_k: int = 10, volume_weight: float = 0.4) -> DataFrame:
+    """OP-51: (periodical, n_papers, top_k_mean, enhanced_disruption).
 
-    The mean of the journal's top scores, damped by its size n: (1 - w) m + w m / ln(1 + n). The rows
-    of a journal are cut to their top_k in each part of the data before they meet.
+    The mean of the periodical's top scores, damped by its size n: (1 - w) m + w m / ln(1 + n). The rows
+    of a periodical are cut to their top_k in each part of the data before they meet.
     """
-    rows = rows.where("journal is not null and d is not null")
-    # Two-level: top_k per salted part, then per journal, so a large journal isn't one task's sort.
+    rows = rows.where("periodical is not null and d is not null")
+    # Two-level: top_k per salted part, then per periodical, so a large periodical isn't one task's sort.
     part = rows.withColumn("salt", F.pmod(F.xxhash64("id", "d"), F.lit(32)))
-    within = F.row_number().over(Window.partitionBy("journal", "salt").orderBy(F.desc("d")))
+    within = F.row_number().over(Window.partitionBy("periodical", "salt").orderBy(F.desc("d")))
     few = part.withColumn("r", within).where(F.col("r") <= top_k)
-    best = few.withColumn("r", F.row_number().over(Window.partitionBy("journal").orderBy(F.desc("d")))).where(F.col("r") <= top_k)
-    mean = best.groupBy("journal").agg(F.avg("d").alias("top_k_mean"))
-    size = rows.groupBy("journal").agg(F.count("*").alias("n_papers"))
+    best = few.withColumn("r", F.row_number().over(Window.partitionBy("periodical").orderBy(F.desc("d")))).where(F.col("r") <= top_k)
+    mean = best.groupBy("periodical").agg(F.avg("d").alias("top_k_mean"))
+    size = rows.groupBy("periodical").agg(F.count("*").alias("n_papers"))
     m, w = F.col("top_k_mean"), volume_weight
-    return size.join(mean, "journal").select("journal", "n_papers", "top_k_mean", (m * (1 - w) + w * m / F.log1p("n_papers")).alias("enhanced_disruption"))
+    return size.join(mean, "periodical").select("periodical", "n_papers", "top_k_mean", (m * (1 - w) + w * m / F.log1p("n_papers")).alias("enhanced_disruption"))
 
 
 def network(background: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:

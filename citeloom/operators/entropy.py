@@ -82,7 +82,7 @@ def entropy(shares: DataFrame) -> DataFrame:
     return shares.groupBy("row").agg(F.count("*").alias("n_fields"), F.abs(F.sum(-F.col("share") * F.log2("share"))).alias("entropy"))
 
 
-def journal_entropy(papers: DataFrame, entropies: DataFrame) -> DataFrame:
-    """OP-63: (journal, entropy_mean, fields_mean, n_papers) of rows (row, journal); rows without a hit have entropy 0, null journals count as Unknown."""
+def periodical_entropy(papers: DataFrame, entropies: DataFrame) -> DataFrame:
+    """OP-63: (periodical, entropy_mean, fields_mean, n_papers) of rows (row, periodical); rows without a hit have entropy 0, null periodicals count as Unknown."""
     rows = papers.join(entropies, "row", "left").na.fill(0, ["entropy", "n_fields"])
-    return rows.groupBy(F.coalesce("journal", F.lit("Unknown")).alias("journal")).agg(F.avg("entropy").alias("entropy_mean"), F.avg("n_fields").alias("fields_mean"), F.count("*").alias("n_papers"))
+    return rows.groupBy(F.coalesce("periodical", F.lit("Unknown")).alias("periodical")).agg(F.avg("entropy").alias("entropy_mean"), F.avg("n_fields").alias("fields_mean"), F.count("*").alias("n_papers"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.parsing import dois_of_text, is_conference
-from citeloom.operators.ranking import from_year, of_journals, top_journals
+from citeloom.operators.ranking import from_year, of_periodicals, top_periodicals
 
 
 def find_column(names: Sequence[str], aliases: Sequence[str]) -> str | None:
@@ -39,7 +39,7 @@ class Cleaning:
 
     drop_conference: bool = True
     min_year: int | None = None
-    target_journals: Sequence[str] = field(default_factory=tuple)
+    target_periodicals: Sequence[str] = field(default_factory=tuple)
     top_n: int = 5
 
     @classmethod
@@ -49,7 +49,7 @@ class Cleaning:
         if missing:
             raise ValueError(f"missing sections: {missing}")
         c = config["cleaning"] or {}
-        return cls(bool(c.get("drop_conference", True)), c.get("min_year") or None, tuple(c.get("target_journals") or ()), int(c.get("top_n") or 5))
+        return cls(bool(c.get("drop_conference", True)), c.get("min_year") or None, tuple(c.get("target_periodicals") or ()), int(c.get("top_n") or 5))
 
 
 def with_references(df: DataFrame, text: str, out: str = "refs") -> DataFrame:
@@ -58,9 +58,9 @@ def with_references(df: DataFrame, text: str, out: str = "refs") -> DataFrame:
 
 
 def clean(papers: DataFrame, cleaning: Cleaning, title: str = "paper_title") -> tuple[DataFrame, DataFrame]:
-    """(background, target): rows (journal, year, title, ...) without conference papers and early years; of the listed journals, or else of the largest."""
+    """(background, target): rows (periodical, year, title, ...) without conference papers and early years; of the listed periodicals, or else of the largest."""
     kept = papers.where(~is_conference(F.col(title))) if cleaning.drop_conference else papers
     kept = from_year(kept, cleaning.min_year)
-    if cleaning.target_journals:
-        return kept, kept.where(F.col("journal").isin(*cleaning.target_journals))
-    return kept, of_journals(kept, top_journals(kept, cleaning.top_n))
+    if cleaning.target_periodicals:
+        return kept, kept.where(F.col("periodical").isin(*cleaning.target_periodicals))
+    return kept, of_periodicals(kept, top_periodicals(kept, cleaning.top_n))

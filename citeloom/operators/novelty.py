@@ -32,9 +32,9 @@ def reference_year(target: DataFrame, default: int) -> int:
 
 
 def papers_by_doi(papers: DataFrame) -> DataFrame:
-    """(id, keywords, year, journal): per DOI the last row's keywords, the first row's year and journal."""
+    """(id, keywords, year, periodical): per DOI the last row's keywords, the first row's year and periodical."""
     rows = papers.where("id is not null")
-    return rows.groupBy("id").agg(F.max_by("keywords", "row_no").alias("keywords"), F.min_by("year", "row_no").alias("year"), F.min_by("journal", "row_no").alias("journal"))
+    return rows.groupBy("id").agg(F.max_by("keywords", "row_no").alias("keywords"), F.min_by("year", "row_no").alias("year"), F.min_by("periodical", "row_no").alias("periodical"))
 
 
 def paper_novelty(target: DataFrame, first_years: DataFrame, reference_year: int, within: int = 1, absolute: bool = False) -> DataFrame:
@@ -52,11 +52,11 @@ def paper_novelty(target: DataFrame, first_years: DataFrame, reference_year: int
     return per.withColumn("novelty", F.col("n_novel").cast("double") / F.col("n_pairs"))
 
 
-def journal_novelty(rows: DataFrame, unknown: bool) -> DataFrame:
-    """OP-55: (journal, novelty_mean, n_papers, novelty_std); rows without a journal count as Unknown, or not at all."""
-    journal = F.coalesce("journal", F.lit("Unknown")) if unknown else F.col("journal")
-    kept = rows.withColumn("journal", journal).where("journal is not null")
-    return kept.groupBy("journal").agg(F.avg("novelty").alias("novelty_mean"), F.count("*").alias("n_papers"), F.stddev_pop("novelty").alias("novelty_std"))
+def periodical_novelty(rows: DataFrame, unknown: bool) -> DataFrame:
+    """OP-55: (periodical, novelty_mean, n_papers, novelty_std); rows without a periodical count as Unknown, or not at all."""
+    periodical = F.coalesce("periodical", F.lit("Unknown")) if unknown else F.col("periodical")
+    kept = rows.withColumn("periodical", periodical).where("periodical is not null")
+    return kept.groupBy("periodical").agg(F.avg("novelty").alias("novelty_mean"), F.count("*").alias("n_papers"), F.stddev_pop("novelty").alias("novelty_std"))
 
 
 def drill_down(target: DataFrame, first_years: DataFrame, row: int, reference_year: int, within: int = 1) -> DataFrame:

@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, score: str, name: str = "journal") -> DataFrame:
-    """Add rank 1..n by falling score, ties by name. For result tables of one row per journal: it sorts all rows in one task."""
+def ranked(df: DataFrame, score: str, name: str = "periodical") -> DataFrame:
+    """Add rank 1..n by falling score, ties by name. For result tables of one row per periodical: it sorts all rows in one task."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc_nulls_last(score), name)))
 
 
-def head(df: DataFrame, score: str, n: int, name: str = "journal") -> DataFrame:
+def head(df: DataFrame, score: str, n: int, name: str = "periodical") -> DataFrame:
     """The n rows with the highest score, ties by name; a top-k of each partition, then of those."""
     return df.orderBy(F.desc_nulls_last(score), name).limit(n)
 
 
-def top_journals(papers: DataFrame, n: int) -> DataFrame:
-    """OP-66: (journal, n_papers) of the n journals with most rows, null excluded."""
-    sizes = papers.where("journal is not null").groupBy("journal").agg(F.count("*").alias("n_papers"))
-    return sizes.orderBy(F.desc("n_papers"), "journal").limit(n)
+def top_periodicals(papers: DataFrame, n: int) -> DataFrame:
+    """OP-66: (periodical, n_papers) of the n periodicals with most rows, null excluded."""
+    sizes = papers.where("periodical is not null").groupBy("periodical").agg(F.count("*").alias("n_papers"))
+    return sizes.orderBy(F.desc("n_papers"), "periodical").limit(n)
 
 
-def of_journals(papers: DataFrame, journals: DataFrame, null_matches: bool = False) -> DataFrame:
-    """OP-18, OP-37: rows whose journal is among `journals` (journal); null only matches null if asked."""
-    names = journals.select(F.col("journal").alias("j")).distinct()
-    on = F.col("journal").eqNullSafe(F.col("j")) if null_matches else F.col("journal") == F.col("j")
+def of_periodicals(papers: DataFrame, periodicals: DataFrame, null_matches: bool = False) -> DataFrame:
+    """OP-18, OP-37: rows whose periodical is among `periodicals` (periodical); null only matches null if asked."""
+    names = periodicals.select(F.col("periodical").alias("j")).distinct()
+    on = F.col("periodical").eqNullSafe(F.col("j")) if null_matches else F.col("periodical") == F.col("j")
     return papers.join(names, on, "left_semi")
 
 

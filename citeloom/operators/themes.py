@@ -1,4 +1,4 @@
-"""Top keywords of journals and texts, prompts and replies (OP-30, OP-31, OP-64, OP-65, OP-78, OP-79)."""
+"""Top keywords of periodicals and texts, prompts and replies (OP-30, OP-31, OP-64, OP-65, OP-78, OP-79)."""
 
 from __future__ import annotations
 
@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 from citeloom.functions.parsing import TEXT_STOPS, clean_text
 
 
-def journal_keywords(papers: DataFrame, min_papers: int = 5) -> DataFrame:
-    """OP-64: (journal, keyword, n, first_seen) of journals with at least `min_papers` rows; rows (journal, keywords, row_no)."""
-    sizes = papers.where("journal is not null").groupBy("journal").agg(F.count("*").alias("n_papers")).where(F.col("n_papers") >= min_papers)
-    words = papers.where("journal is not null").select("journal", "row_no", F.posexplode_outer("keywords").alias("pos", "keyword")).where("keyword is not null")
-    counts = words.groupBy("journal", "keyword").agg(F.count("*").alias("n"), F.min(F.struct("row_no", "pos")).alias("first_seen"))
-    return counts.join(sizes, "journal", "left_semi")
+def periodical_keywords(papers: DataFrame, min_papers: int = 5) -> DataFrame:
+    """OP-64: (periodical, keyword, n, first_seen) of periodicals with at least `min_papers` rows; rows (periodical, keywords, row_no)."""
+    sizes = papers.where("periodical is not null").groupBy("periodical").agg(F.count("*").alias("n_papers")).where(F.col("n_papers") >= min_papers)
+    words = papers.where("periodical is not null").select("periodical", "row_no", F.posexplode_outer("keywords").alias("pos", "keyword")).where("keyword is not null")
+    counts = words.groupBy("periodical", "keyword").agg(F.count("*").alias("n"), F.min(F.struct("row_no", "pos")).alias("first_seen"))
+    return counts.join(sizes, "periodical", "left_semi")
 
 
 def top_keywords(counts: DataFrame, k: int = 5) -> DataFrame:
-    """OP-65: (journal, place, keyword, n): the k most frequent, ties by first occurrence."""
-    place = F.row_number().over(Window.partitionBy("journal").orderBy(F.desc("n"), "first_seen"))
-    return counts.withColumn("place", place).where(F.col("place") <= k).select("journal", "place", "keyword", "n")
+    """OP-65: (periodical, place, keyword, n): the k most frequent, ties by first occurrence."""
+    place = F.row_number().over(Window.partitionBy("periodical").orderBy(F.desc("n"), "first_seen"))
+    return counts.withColumn("place", place).where(F.col("place") <= k).select("periodical", "place", "keyword", "n")
 
 
 def top_terms(texts: DataFrame, k: int = 20, least: int = 3, stops: tuple[str, ...] = TEXT_STOPS) -> DataFrame:
@@ -41,10 +41,10 @@ def terms_from(keywords: Column, abstract: Column, source: str) -> Column:
     return F.array_distinct({"keywords": keywords, "abstract": abstract, "both": F.concat(keywords, abstract)}[source])
 
 
-def prompts(top: DataFrame, template: str = "Journal: %s\nTop keywords: %s\nDescribe the journal's theme in one sentence.") -> DataFrame:
-    """OP-78: (journal, keywords, prompt); k keywords a journal, joined in order."""
+def prompts(top: DataFrame, template: str = "Periodical: %s\nTop keywords: %s\nDescribe the periodical's theme in one sentence.") -> DataFrame:
+    """OP-78: (periodical, keywords, prompt); k keywords a periodical, joined in order."""
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda x: x["keyword"]), ", ")
-    return top.groupBy("journal").agg(words.alias("keywords")).withColumn("prompt", F.format_string(template, "journal", "keywords"))
+    return top.groupBy("periodical").agg(words.alias("keywords")).withColumn("prompt", F.format_string(template, "periodical", "keywords"))
 
 
 def stream_text(lines: Iterable[str]) -> str:
@@ -62,7 +62,7 @@ def stream_text(lines: Iterable[str]) -> str:
 
 
 def describe(asked: DataFrame, ask: Callable[[str], Iterable[str]] | None = None) -> DataFrame:
-    """(journal, keywords, reply): `ask` gets a prompt and returns the reply's lines; errors come back as text.
+    """(periodical, keywords, reply): `ask` gets a prompt and returns the reply's lines; errors come back as text.
 
     Without `ask` nothing is sent anywhere and the reply is a placeholder.
     """
@@ -75,6 +75,6 @@ def describe(asked: DataFrame, ask: Callable[[str], Iterable[str]] | None = None
                     replies.append(stream_text(ask(prompt)) if ask else "no description")
                 except Exception as e:
                     replies.append(f"error: {e}")
-            yield frame[["journal", "keywords"]].assign(reply=replies)
+            yield frame[["periodical", "keywords"]].assign(reply=replies)
 
-    return asked.select("journal", "keywords", "prompt").mapInPandas(run, "journal string, keywords string, reply string")
+    return asked.select("periodical", "keywords", "prompt").mapInPandas(run, "periodical string, keywords string, reply string")

@@ -63,7 +63,7 @@ BARE = lambda x: rf"regexp_replace({strip(x)}, '^(https?://doi\.org/|doi:)', '')
 
 _COLUMNS = '"DOI" doi, "Source Title" title, "Publication Year" typed_year, "Keywords" typed_keywords, "WoS Categories" typed_categories, citing, citations, "Article Title" "name"'
 ROWS = rf"""raw as (select {_COLUMNS}, row_no, true is_target from target_data union all by name select {_COLUMNS}, record_id + 1000000 row_no, false is_target from data_with_citing),
- bg as (select *, row_no "row", case when doi not in ('', 'nan') then doi end id, case when title not in ('', 'nan') then title end journal,
+ bg as (select *, row_no "row", case when doi not in ('', 'nan') then doi end id, case when title not in ('', 'nan') then title end periodical,
  case when regexp_full_match({strip('typed_year')}, '[0-9]{{1,9}}(\.[0-9]*)?') then try_cast(regexp_extract({strip('typed_year')}, '^[0-9]+') as integer) end "year" from raw)"""
 
 
@@ -75,7 +75,7 @@ def parsed(expression: str) -> str:
     return q(select=f'select "row", to_json({expression})::varchar items from bg')
 
 
-DISTINCT_REFS = f"g as (select id, journal, row_no, is_target, {REFS} refs from bg)"
+DISTINCT_REFS = f"g as (select id, periodical, row_no, is_target, {REFS} refs from bg)"
 GRAPH = DISTINCT_REFS + """,
  edges as (select distinct id src, unnest(refs) dst from g where id is not null),
  newest as (select id, refs from g where id is not null qualify row_number() over (partition by id order by row_no desc) = 1),
@@ -90,35 +90,35 @@ SCORES = GRAPH + """,
  nk as (select f, count(*) n from near anti join citers using (f, c) group by f),
  parts as (select id, coalesce(nc.n, 0) - coalesce(nj.n, 0) ni, coalesce(nj.n, 0) nj, coalesce(nk.n, 0) nk from focal left join nj on nj.f = id left join nc on nc.f = id left join nk on nk.f = id),
  scores as (select *, case when ni + nj + nk > 0 then (ni - nj)::double / (ni + nj + nk) else 0.0::double end d from parts)"""
-JOURNAL_ROWS = SCORES + ", jr as (select g.id, journal, d from g join scores using (id) where is_target)"
-ENHANCED = JOURNAL_ROWS + """,
- best as (select journal, avg(d) m from (select *, row_number() over (partition by journal order by d desc) r from jr where journal is not null) where r <= 10 group by journal),
- en as (select journal, count(*) n_papers, any_value(m) m, any_value(m) * 0.6::double + 0.4::double * any_value(m) / ln(1 + count(*)) e from jr join best using (journal) group by journal)"""
+PERIODICAL_ROWS = SCORES + ", jr as (select g.id, periodical, d from g join scores using (id) where is_target)"
+ENHANCED = PERIODICAL_ROWS + """,
+ best as (select periodical, avg(d) m from (select *, row_number() over (partition by periodical order by d desc) r from jr where periodical is not null) where r <= 10 group by periodical),
+ en as (select periodical, count(*) n_papers, any_value(m) m, any_value(m) * 0.6::double + 0.4::double * any_value(m) / ln(1 + count(*)) e from jr join best using (periodical) group by periodical)"""
 
 
 def pairs(source: str, keep: str) -> str:
     return f"select {keep}, least(k[i], k[j]) k1, greatest(k[i], k[j]) k2 from {source}, range(1, 40) a(i), range(2, 41) b(j) where i < j and j <= len(k)"
 
 
-TIMELINE_H = f"kw as (select \"row\", journal, \"year\", is_target, {KEYWORDS_H} k from bg), tl as (select k1, k2, min(y) first_year from ({pairs('kw', '\"year\" y')}) where y is not null group by 1, 2)"
+TIMELINE_H = f"kw as (select \"row\", periodical, \"year\", is_target, {KEYWORDS_H} k from bg), tl as (select k1, k2, min(y) first_year from ({pairs('kw', '\"year\" y')}) where y is not null group by 1, 2)"
 REF_H = TIMELINE_H + ', ref as (select max("year") y from kw where is_target)'
 NOVELTY_H = REF_H + f""",
- met as (select p.*, tl.first_year is null or ref.y - tl.first_year <= 1 novel from ({pairs('(from kw where is_target)', '"row", journal')}) p left join tl using (k1, k2), ref),
- nov as (select "row", any_value(journal) journal, count(*) n_pairs, count(*) filter (where novel) n_novel, count(*) filter (where novel)::double / count(*) nv from met group by "row")"""
+ met as (select p.*, tl.first_year is null or ref.y - tl.first_year <= 1 novel from ({pairs('(from kw where is_target)', '"row", periodical')}) p left join tl using (k1, k2), ref),
+ nov as (select "row", any_value(periodical) periodical, count(*) n_pairs, count(*) filter (where novel) n_novel, count(*) filter (where novel)::double / count(*) nv from met group by "row")"""
 
 
 def by_doi(name: str, where: str) -> str:
-    return f"""{name} as (select id, arg_max(k, row_no) k, (array_agg("year" order by row_no))[1] y, (array_agg(journal order by row_no))[1] journal
+    return f"""{name} as (select id, arg_max(k, row_no) k, (array_agg("year" order by row_no))[1] y, (array_agg(periodical order by row_no))[1] periodical
  from (select *, {KEYWORDS_I} k from bg where id is not null{where}) group by id)"""
 
 
 NOVELTY_I = by_doi("every", "") + ", " + by_doi("mine", " and is_target") + f""",
  tl as (select k1, k2, min(y) first_year from ({pairs('every', 'y')}) where y is not null group by 1, 2),
  ref as (select max(y) y from mine),
- met as (select p.*, tl.first_year is null or abs(ref.y - tl.first_year) <= 1 novel from ({pairs('mine', 'id, journal')}) p left join tl using (k1, k2), ref),
- nov as (select id, any_value(journal) journal, count(*) n_pairs, count(*) filter (where novel) n_novel, count(*) filter (where novel)::double / count(*) nv from met group by id)"""
+ met as (select p.*, tl.first_year is null or abs(ref.y - tl.first_year) <= 1 novel from ({pairs('mine', 'id, periodical')}) p left join tl using (k1, k2), ref),
+ nov as (select id, any_value(periodical) periodical, count(*) n_pairs, count(*) filter (where novel) n_novel, count(*) filter (where novel)::double / count(*) nv from met group by id)"""
 
-CATS = f"""cr as (select "row", journal, id, row_no, is_target, {CATEGORIES} cs, {REFS} refs from bg),
+CATS = f"""cr as (select "row", periodical, id, row_no, is_target, {CATEGORIES} cs, {REFS} refs from bg),
  pc as (select id, arg_max(cs, row_no) cs from cr where id is not null and len(cs) > 0 group by id)"""
 
 
@@ -132,21 +132,21 @@ Z = """tot as (select "row", sum(n)::double t, count(*) m from found group by "r
  z as (select a."row", any_value(tot.m) m, sum(coalesce(s, case when a.c = b.c then 1.0 else 0.0 end::double) * a.n / t * b.n / t) z from found a join found b using ("row") join tot using ("row") left join sim on sim.i = a.c and sim.j = b.c group by a."row")"""
 TD_IN = CATS + ", " + counts("pc", 2) + ", " + SALTON + """,
  found as (select "row", c, count(*) n from (select "row", unnest(pc.cs) c from (select "row", unnest(refs) id from cr where is_target) join pc using (id)) group by 1, 2), """ + Z + """,
- td as (select "row", journal, case when m > 1 then 1 - z else 0.0::double end rs from cr left join z using ("row") where is_target)"""
+ td as (select "row", periodical, case when m > 1 then 1 - z else 0.0::double end rs from cr left join z using ("row") where is_target)"""
 KU = f"""kc as (select bare id, arg_max(trim(typed_categories), row_no) c from (select *, {BARE('id')} bare from bg where is_target and id is not null and typed_categories is not null) group by 1),
- kr as (select "row", journal, {REFS_LENIENT} refs from bg where exists (select 1 from bg t where t.is_target and t.journal is not distinct from bg.journal)),
+ kr as (select "row", periodical, {REFS_LENIENT} refs from bg where exists (select 1 from bg t where t.is_target and t.periodical is not distinct from bg.periodical)),
  found as (select "row", c, count(*) n from (select "row", {BARE('r')} id from (select "row", unnest(refs) r from kr)) join kc using (id) group by 1, 2),
  sets as (select "row", list(c) cs from found group by 1), """ + counts("sets", 1)
-TD_KU = KU + ", " + SALTON + ", " + Z + """, td as (select kr."row", journal, case when z > 0 then 1 / z else 1.0::double end td from kr left join z using ("row"))"""
+TD_KU = KU + ", " + SALTON + ", " + Z + """, td as (select kr."row", periodical, case when z > 0 then 1 / z else 1.0::double end td from kr left join z using ("row"))"""
 
 WORDS = f"""fr as (select "row", unnest(list_distinct({KEYWORDS_TOPIC})) keyword from bg), dict as (select distinct field, lower(term) term from field_terms),
  fm as (select distinct keyword, field from fr join dict on lower(trim(keyword)) = term)"""
 SHARES = WORDS + """, fc as (select "row", field, count(*) n from fr join fm using (keyword) group by 1, 2), fs as (select *, n::double / sum(n) over (partition by "row") share from fc),
  ent as (select "row", count(*) n_fields, abs(-sum(share * log2(share))) e from fs group by "row")"""
-THEMES = f"""th as (select journal, row_no, {keywords_theme(NONE)} k from bg where journal is not null),
- tw as (select journal, row_no, i pos, k[i] keyword from th, range(1, 40) a(i) where i <= len(k)),
- tc as (select journal, keyword, count(*) n, min(row_no * 1000 + pos) f from tw where journal in (select journal from bg group by journal having count(*) >= 5) group by 1, 2),
- tt as (select *, row_number() over (partition by journal order by n desc, f) place from tc qualify place <= 5)"""
+THEMES = f"""th as (select periodical, row_no, {keywords_theme(NONE)} k from bg where periodical is not null),
+ tw as (select periodical, row_no, i pos, k[i] keyword from th, range(1, 40) a(i) where i <= len(k)),
+ tc as (select periodical, keyword, count(*) n, min(row_no * 1000 + pos) f from tw where periodical in (select periodical from bg group by periodical having count(*) >= 5) group by 1, 2),
+ tt as (select *, row_number() over (partition by periodical order by n desc, f) place from tc qualify place <= 5)"""
 CLEAN = r"""case when text is null then '' else trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'http[^\s\p{Z}]+|www[^\s\p{Z}]+', '', 'g'), '\p{Nd}+', '', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) end"""
 TEXT_STOPS_SQL = "(" + ", ".join(map(lit, TEXT_STOPS)) + ")"
 CONFERENCE = "coalesce(" + " or ".join(f"contains(upper(\"name\"), {lit(w)})" for w in CONFERENCE_WORDS) + " or regexp_matches(\"name\", '20[0-9]{2}'), false)"
@@ -169,48 +169,48 @@ REFERENCE = {
  n as (select doc_id, word, count(*) n, min(pos) f from x where length(word) >= 3 and regexp_full_match(word, '\\p{{L}}+') and word not in {TEXT_STOPS_SQL} group by 1, 2)
  select doc_id, row_number() over (partition by doc_id order by n desc, f)::integer place, word, n from n qualify place <= 15""",
     "term_source_both": q(select=f'select "row", unnest(list_distinct(list_concat({KEYWORDS_TOPIC}, {KEYWORDS_TOPIC.replace(K, chr(34) + "name" + chr(34))}))) term from bg'),
-    "label_truncation": q(select="select distinct journal, case when length(journal) > 28 then substr(journal, 1, 28) || '...' else journal end \"label\" from bg where journal is not null"),
+    "label_truncation": q(select="select distinct periodical, case when length(periodical) > 28 then substr(periodical, 1, 28) || '...' else periodical end \"label\" from bg where periodical is not null"),
     "union_by_name": q(select="select is_target, count(*) n_rows, count(id) n_ids from bg group by 1"),
-    "top_n_journals": q(select="select journal, count(*) n_papers from bg where journal is not null group by 1 order by 2 desc, 1 limit 10"),
-    "semi_join_target": q(select='select "row", journal from bg where exists (select 1 from bg t where t.is_target and t.journal is not distinct from bg.journal)'),
-    "clean_pipeline": q(f'kept as (select * from bg where not {CONFERENCE} and "year" >= 2000)', select="select journal, count(*) n_papers, min(\"year\") first_year from kept where journal is not null group by 1 order by 2 desc, 1 limit 5"),
+    "top_n_periodicals": q(select="select periodical, count(*) n_papers from bg where periodical is not null group by 1 order by 2 desc, 1 limit 10"),
+    "semi_join_target": q(select='select "row", periodical from bg where exists (select 1 from bg t where t.is_target and t.periodical is not distinct from bg.periodical)'),
+    "clean_pipeline": q(f'kept as (select * from bg where not {CONFERENCE} and "year" >= 2000)', select="select periodical, count(*) n_papers, min(\"year\") first_year from kept where periodical is not null group by 1 order by 2 desc, 1 limit 5"),
     "dup_doi_last_wins": q(select="select id, typed_categories category from bg where id is not null qualify row_number() over (partition by id order by row_no desc) = 1"),
-    "first_row_per_doi": q(select="select id, journal from bg where id is not null qualify row_number() over (partition by id order by row_no) = 1"),
+    "first_row_per_doi": q(select="select id, periodical from bg where id is not null qualify row_number() over (partition by id order by row_no) = 1"),
     "edges_explode": q(DISTINCT_REFS, select="select distinct id src, unnest(refs) dst from g where id is not null"),
     "citers_two_hop": q(GRAPH, select="select f.id, count(distinct e.src) n_around from focal f join edges r on r.src = f.id join edges e on e.dst = r.dst group by 1"),
     "dindex_components": q(SCORES, select="select id, ni, nj, nk from scores"),
     "dindex_paper": q(SCORES, select="select id, round(d, 6) d from scores"),
-    "dindex_nulldoi_merge": q(SCORES, "s as (select g.id, coalesce(d, 0.0::double) d from g left join scores using (id) where is_target)", select="select journal, count(*) n_rows, count(g.id) n_ids, round(avg(s.d), 6) mean_d from s join g on g.id is not distinct from s.id where is_target group by journal"),
-    "journal_disruption_mean": q(JOURNAL_ROWS, select="select journal, round(avg(d), 6) disruption_mean, count(id) paper_count from jr where journal is not null group by 1"),
-    "journal_enhanced_topk": q(ENHANCED, select="select journal, n_papers, round(m, 6) top_k_mean, round(e, 6) enhanced_disruption from en"),
-    "journal_percent_rank": q(ENHANCED, select="select row_number() over (order by round(e * 100, 4) desc, journal)::integer rank, journal, round(e * 100, 4) percent_score from en"),
-    "ranking_summary": q(JOURNAL_ROWS, select="select count(m) n, round(avg(m), 6) mean, round(stddev_samp(m), 6) std, round(max(m), 6) most, round(min(m), 6) least from (select avg(d) m from jr where journal is not null group by journal)"),
+    "dindex_nulldoi_merge": q(SCORES, "s as (select g.id, coalesce(d, 0.0::double) d from g left join scores using (id) where is_target)", select="select periodical, count(*) n_rows, count(g.id) n_ids, round(avg(s.d), 6) mean_d from s join g on g.id is not distinct from s.id where is_target group by periodical"),
+    "periodical_disruption_mean": q(PERIODICAL_ROWS, select="select periodical, round(avg(d), 6) disruption_mean, count(id) paper_count from jr where periodical is not null group by 1"),
+    "periodical_enhanced_topk": q(ENHANCED, select="select periodical, n_papers, round(m, 6) top_k_mean, round(e, 6) enhanced_disruption from en"),
+    "periodical_percent_rank": q(ENHANCED, select="select row_number() over (order by round(e * 100, 4) desc, periodical)::integer rank, periodical, round(e * 100, 4) percent_score from en"),
+    "ranking_summary": q(PERIODICAL_ROWS, select="select count(m) n, round(avg(m), 6) mean, round(stddev_samp(m), 6) std, round(max(m), 6) most, round(min(m), 6) least from (select avg(d) m from jr where periodical is not null group by periodical)"),
     "graph_nodes": q(SCORES, select="select id, 'paper' \"type\", len(refs)::integer n_references, round(d, 6) disruption_index from newest left join scores using (id)"),
     "graph_edges": q(GRAPH, select='select dst "source", src target from edges'),
     "pair_timeline": q(TIMELINE_H, select="select * from tl"),
     "pair_timeline_recent": q(TIMELINE_H, select="select * from tl where first_year >= 2020 order by first_year, k1, k2 limit 5"),
     "paper_novelty_h": q(NOVELTY_H, select='select "row", n_pairs, n_novel, round(nv, 6) novelty from nov'),
-    "journal_novelty_h": q(NOVELTY_H, select="select coalesce(journal, 'Unknown') journal, round(avg(nv), 6) novelty_mean, round(stddev_pop(nv), 6) novelty_std, count(*) n_papers, round(avg(nv) * 600, 4) percent_score from nov group by 1"),
+    "periodical_novelty_h": q(NOVELTY_H, select="select coalesce(periodical, 'Unknown') periodical, round(avg(nv), 6) novelty_mean, round(stddev_pop(nv), 6) novelty_std, count(*) n_papers, round(avg(nv) * 600, 4) percent_score from nov group by 1"),
     "paper_novelty_i": q(NOVELTY_I, select="select id, n_pairs, n_novel, round(nv, 6) novelty from nov"),
-    "journal_novelty_i": q(NOVELTY_I, select="select journal, round(avg(nv), 6) novelty_mean from nov where journal is not null group by 1"),
+    "periodical_novelty_i": q(NOVELTY_I, select="select periodical, round(avg(nv), 6) novelty_mean from nov where periodical is not null group by 1"),
     "novel_pair_drilldown": q(REF_H, select=f"select k1, k2, first_year, coalesce(abs(ref.y - first_year) <= 1, false) novel from ({pairs('(from kw where \"row\" = 1)', '1 one')}) left join tl using (k1, k2), ref"),
     "keyword_corpus_stats": q(TIMELINE_H, select="select count(*) n_papers, count(*) filter (where len(k) > 0) n_with_keywords, sum(len(k))::bigint n_keywords, count(*) filter (where \"year\" is null) n_without_year, (select count(distinct x) from (select unnest(k) x from kw)) n_distinct from kw"),
     "cooc_in": q(CATS, counts("pc", 2), select="select * from cc"),
     "salton_similarity": q(CATS, counts("pc", 2), SALTON, select="select i, j, round(s, 6) s from sim"),
     "rao_stirling": q(TD_IN, select='select "row", round(rs, 6) diversity from td'),
     "td_in": q(TD_IN, select='select "row", round(case when rs > 0 then 1 / rs else 1.0 end, 4) td from td'),
-    "journal_td_in": q(TD_IN, select="select journal, round(avg(t), 4) td_mean, round(stddev_samp(t), 4) td_std, count(*) n_papers from (select journal, case when rs > 0 then 1 / rs else 1.0::double end t from td) where journal is not null group by 1"),
+    "periodical_td_in": q(TD_IN, select="select periodical, round(avg(t), 4) td_mean, round(stddev_samp(t), 4) td_std, count(*) n_papers from (select periodical, case when rs > 0 then 1 / rs else 1.0::double end t from td) where periodical is not null group by 1"),
     "cooc_ku": q(KU, select="select * from cc"),
     "td_ku": q(TD_KU, select='select "row", round(td, 6) td from td'),
-    "journal_td_ku": q(TD_KU, select="select journal, round(avg(td), 4) td_mean from td where journal is not null group by 1"),
+    "periodical_td_ku": q(TD_KU, select="select periodical, round(avg(td), 4) td_mean from td where periodical is not null group by 1"),
     "similarity_matrix_wide": q(CATS, counts("pc", 2), SALTON, select="select i category, " + ", ".join(f"round(coalesce(max(s) filter (where j = '{n}'), 0.0), 6) s{k}" for k, n in enumerate(("Optics, Free-Space", "Sleep Research", "Soil Physics"))) + " from sim where j in ('Optics, Free-Space', 'Sleep Research', 'Soil Physics') group by 1"),
     "field_match_exact": q(WORDS, select="select * from fm"),
     "field_shares": q(SHARES, select='select "row", field, n, round(share, 6) share from fs'),
     "paper_entropy": q(SHARES, select='select "row", n_fields, round(e, 6) entropy from ent'),
-    "journal_entropy": q(SHARES, select="select coalesce(journal, 'Unknown') journal, round(avg(coalesce(e, 0)), 6) entropy_mean, round(avg(coalesce(n_fields, 0)), 6) fields_mean, count(*) n_papers, round(avg(coalesce(e, 0)) * 500, 3) percent_score from bg left join ent using (\"row\") group by 1"),
-    "journal_keyword_counts": q(THEMES, select="select journal, keyword, n from tc"),
-    "journal_topk_keywords": q(THEMES, select="select journal, place::integer place, keyword, n from tt"),
-    "theme_prompt": q(THEMES, select="select journal, string_agg(keyword, ', ' order by place) keywords, journal || ': ' || string_agg(keyword, ', ' order by place) prompt from tt group by 1"),
+    "periodical_entropy": q(SHARES, select="select coalesce(periodical, 'Unknown') periodical, round(avg(coalesce(e, 0)), 6) entropy_mean, round(avg(coalesce(n_fields, 0)), 6) fields_mean, count(*) n_papers, round(avg(coalesce(e, 0)) * 500, 3) percent_score from bg left join ent using (\"row\") group by 1"),
+    "periodical_keyword_counts": q(THEMES, select="select periodical, keyword, n from tc"),
+    "periodical_topk_keywords": q(THEMES, select="select periodical, place::integer place, keyword, n from tt"),
+    "theme_prompt": q(THEMES, select="select periodical, string_agg(keyword, ', ' order by place) keywords, periodical || ': ' || string_agg(keyword, ', ' order by place) prompt from tt group by 1"),
 }
 
 

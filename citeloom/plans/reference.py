@@ -26,7 +26,7 @@ def background(spark: SparkSession, sf: str) -> DataFrame:
     new = pick(table(spark, sf, "data_with_citing"), FIELDS | {"row_no": "record_id"}).withColumn("row_no", F.col("row_no") + 1_000_000)
     rows = old.withColumn("is_target", F.lit(True)).unionByName(new.withColumn("is_target", F.lit(False)), allowMissingColumns=True)
     gone = lambda c: F.when(~c.isin("", "nan"), c)
-    return rows.withColumns({"id": gone(F.col("doi")), "journal": gone(F.col("title")), "year": P.year_of(F.col("typed_year")), "row": F.col("row_no")})
+    return rows.withColumns({"id": gone(F.col("doi")), "periodical": gone(F.col("title")), "year": P.year_of(F.col("typed_year")), "row": F.col("row_no")})
 
 
 def target(rows: DataFrame) -> DataFrame:
@@ -86,27 +86,27 @@ def term_source_both(spark, sf):
 
 
 def label_truncation(spark, sf):
-    return background(spark, sf).where("journal is not null").select("journal", P.shortened(F.col("journal"), 28).alias("label")).distinct()
+    return background(spark, sf).where("periodical is not null").select("periodical", P.shortened(F.col("periodical"), 28).alias("label")).distinct()
 
 
-# Rows and journals
+# Rows and periodicals
 
 def union_by_name(spark, sf):
     return background(spark, sf).groupBy("is_target").agg(F.count("*").alias("n_rows"), F.count("id").alias("n_ids"))
 
 
-def top_n_journals(spark, sf):
-    return ranking.top_journals(background(spark, sf), 10)
+def top_n_periodicals(spark, sf):
+    return ranking.top_periodicals(background(spark, sf), 10)
 
 
 def semi_join_target(spark, sf):
     rows = background(spark, sf)
-    return ranking.of_journals(rows, target(rows), null_matches=True).select("row", "journal")
+    return ranking.of_periodicals(rows, target(rows), null_matches=True).select("row", "periodical")
 
 
 def clean_pipeline(spark, sf):
     kept, chosen = ingest.clean(background(spark, sf).withColumnsRenamed({"name": "paper_title"}), ingest.Cleaning(min_year=2000, top_n=5))
-    return chosen.groupBy("journal").agg(F.count("*").alias("n_papers"), F.min("year").alias("first_year"))
+    return chosen.groupBy("periodical").agg(F.count("*").alias("n_papers"), F.min("year").alias("first_year"))
 
 
 def dup_doi_last_wins(spark, sf):
@@ -114,13 +114,13 @@ def dup_doi_last_wins(spark, sf):
 
 
 def first_row_per_doi(spark, sf):
-    return citation.first_row(background(spark, sf), "id", "journal")
+    return citation.first_row(background(spark, sf), "id", "periodical")
 
 
 # Citations
 
 def _graph(spark, sf) -> DataFrame:
-    return background(spark, sf).withColumn("refs", P.refs_of_literal(F.col("citing"))).select("id", "journal", "row_no", "refs", "is_target")
+    return background(spark, sf).withColumn("refs", P.refs_of_literal(F.col("citing"))).select("id", "periodical", "row_no", "refs", "is_target")
 
 
 def edges_explode(spark, sf):
@@ -148,30 +148,30 @@ def dindex_paper(spark, sf):
     return _scores(spark, sf)[1].select("id", *r6("d"))
 
 
-def _journal_rows(spark, sf, null_keys="skip") -> DataFrame:
+def _periodical_rows(spark, sf, null_keys="skip") -> DataFrame:
     rows, scores = _scores(spark, sf)
     return citation.score_rows(target(rows), scores, null_keys)
 
 
 def dindex_nulldoi_merge(spark, sf):
-    return _journal_rows(spark, sf, "match").groupBy("journal").agg(F.count("*").alias("n_rows"), F.count("id").alias("n_ids"), F.round(F.avg("d"), 6).alias("mean_d"))
+    return _periodical_rows(spark, sf, "match").groupBy("periodical").agg(F.count("*").alias("n_rows"), F.count("id").alias("n_ids"), F.round(F.avg("d"), 6).alias("mean_d"))
 
 
-def journal_disruption_mean(spark, sf):
-    return citation.journal_mean(_journal_rows(spark, sf)).select("journal", *r6("disruption_mean"), "paper_count")
+def periodical_disruption_mean(spark, sf):
+    return citation.periodical_mean(_periodical_rows(spark, sf)).select("periodical", *r6("disruption_mean"), "paper_count")
 
 
-def journal_enhanced_topk(spark, sf):
-    return citation.journal_enhanced(_journal_rows(spark, sf)).select("journal", "n_papers", *r6("top_k_mean", "enhanced_disruption"))
+def periodical_enhanced_topk(spark, sf):
+    return citation.periodical_enhanced(_periodical_rows(spark, sf)).select("periodical", "n_papers", *r6("top_k_mean", "enhanced_disruption"))
 
 
-def journal_percent_rank(spark, sf):
-    scores = citation.journal_enhanced(_journal_rows(spark, sf)).withColumn("percent_score", F.round(P.percent(F.col("enhanced_disruption"), 100), 4))
-    return ranking.ranked(scores, "percent_score").select("rank", "journal", "percent_score")
+def periodical_percent_rank(spark, sf):
+    scores = citation.periodical_enhanced(_periodical_rows(spark, sf)).withColumn("percent_score", F.round(P.percent(F.col("enhanced_disruption"), 100), 4))
+    return ranking.ranked(scores, "percent_score").select("rank", "periodical", "percent_score")
 
 
 def ranking_summary(spark, sf):
-    return ranking.summary(citation.journal_mean(_journal_rows(spark, sf)), "disruption_mean").select("n", *r6("mean", "std", "most", "least"))
+    return ranking.summary(citation.periodical_mean(_periodical_rows(spark, sf)), "disruption_mean").select("n", *r6("mean", "std", "most", "least"))
 
 
 def graph_nodes(spark, sf):
@@ -187,11 +187,11 @@ def graph_edges(spark, sf):
 # Novelty
 
 def _keywords_h(spark, sf) -> DataFrame:
-    return background(spark, sf).withColumn("keywords", P.keywords_by_first_separator(F.col("typed_keywords"))).select("row", "id", "journal", "year", "keywords", "is_target")
+    return background(spark, sf).withColumn("keywords", P.keywords_by_first_separator(F.col("typed_keywords"))).select("row", "id", "periodical", "year", "keywords", "is_target")
 
 
 def _keywords_i(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rows = background(spark, sf).withColumn("keywords", P.keywords_without_stops(F.col("typed_keywords"))).select("row_no", "id", "journal", "year", "keywords", "is_target")
+    rows = background(spark, sf).withColumn("keywords", P.keywords_without_stops(F.col("typed_keywords"))).select("row_no", "id", "periodical", "year", "keywords", "is_target")
     return novelty.papers_by_doi(rows), novelty.papers_by_doi(target(rows)).withColumn("row", F.col("id"))
 
 
@@ -209,29 +209,29 @@ def pair_timeline_recent(spark, sf):
 
 def _novelty_h(spark, sf) -> DataFrame:
     rows = _keywords_h(spark, sf)
-    return novelty.paper_novelty(target(rows), novelty.timeline(rows), _last_year(target(rows))).join(rows.select("row", "journal"), "row")
+    return novelty.paper_novelty(target(rows), novelty.timeline(rows), _last_year(target(rows))).join(rows.select("row", "periodical"), "row")
 
 
 def paper_novelty_h(spark, sf):
     return _novelty_h(spark, sf).select("row", "n_pairs", "n_novel", *r6("novelty"))
 
 
-def journal_novelty_h(spark, sf):
-    out = novelty.journal_novelty(_novelty_h(spark, sf), unknown=True)
-    return out.select("journal", *r6("novelty_mean", "novelty_std"), "n_papers", F.round(P.percent(F.col("novelty_mean"), 600), 4).alias("percent_score"))
+def periodical_novelty_h(spark, sf):
+    out = novelty.periodical_novelty(_novelty_h(spark, sf), unknown=True)
+    return out.select("periodical", *r6("novelty_mean", "novelty_std"), "n_papers", F.round(P.percent(F.col("novelty_mean"), 600), 4).alias("percent_score"))
 
 
 def _novelty_i(spark, sf) -> DataFrame:
     every, mine = _keywords_i(spark, sf)
-    return novelty.paper_novelty(mine, novelty.timeline(every), _last_year(mine), absolute=True).join(mine.select("row", "journal"), "row")
+    return novelty.paper_novelty(mine, novelty.timeline(every), _last_year(mine), absolute=True).join(mine.select("row", "periodical"), "row")
 
 
 def paper_novelty_i(spark, sf):
     return _novelty_i(spark, sf).select(F.col("row").alias("id"), "n_pairs", "n_novel", *r6("novelty"))
 
 
-def journal_novelty_i(spark, sf):
-    return novelty.journal_novelty(_novelty_i(spark, sf), unknown=False).select("journal", *r6("novelty_mean"))
+def periodical_novelty_i(spark, sf):
+    return novelty.periodical_novelty(_novelty_i(spark, sf), unknown=False).select("periodical", *r6("novelty_mean"))
 
 
 def novel_pair_drilldown(spark, sf):
@@ -249,7 +249,7 @@ def _categories(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Categories of each paper (the last row with any), and the targets' references."""
     rows = background(spark, sf).withColumns({"categories": P.categories_list(F.col("typed_categories")), "refs": P.refs_of_literal(F.col("citing"))})
     named = rows.where(F.size("categories") > 0)
-    return citation.last_row(named.select("id", "categories", "row_no"), "id", "categories"), target(rows).select("row", "journal", "refs")
+    return citation.last_row(named.select("id", "categories", "row_no"), "id", "categories"), target(rows).select("row", "periodical", "refs")
 
 
 def cooc_in(spark, sf):
@@ -260,7 +260,7 @@ def _td_in(spark, sf) -> DataFrame:
     papers, mine = _categories(spark, sf)
     similarity = diversity.salton(diversity.category_counts(papers, distinct=False, least=2))
     z = diversity.shared(diversity.reference_categories(mine, papers), similarity)
-    return mine.select("row", "journal").join(z, "row", "left")
+    return mine.select("row", "periodical").join(z, "row", "left")
 
 
 def salton_similarity(spark, sf):
@@ -276,18 +276,18 @@ def td_in(spark, sf):
     return _td_in(spark, sf).select("row", F.round(diversity.td_from_diversity(F.col("z"), F.col("n_categories")), 4).alias("td"))
 
 
-def journal_td_in(spark, sf):
-    rows = _td_in(spark, sf).withColumn("td", diversity.td_from_diversity(F.col("z"), F.col("n_categories"))).where("journal is not null")
-    return rows.groupBy("journal").agg(F.round(F.avg("td"), 4).alias("td_mean"), F.round(F.stddev_samp("td"), 4).alias("td_std"), F.count("*").alias("n_papers"))
+def periodical_td_in(spark, sf):
+    rows = _td_in(spark, sf).withColumn("td", diversity.td_from_diversity(F.col("z"), F.col("n_categories"))).where("periodical is not null")
+    return rows.groupBy("periodical").agg(F.round(F.avg("td"), 4).alias("td_mean"), F.round(F.stddev_samp("td"), 4).alias("td_std"), F.count("*").alias("n_papers"))
 
 
 def _ku(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Category of each target paper by bare DOI, whole text, last row; rows of target journals with bare references."""
+    """Category of each target paper by bare DOI, whole text, last row; rows of target periodicals with bare references."""
     rows = background(spark, sf)
     own = target(rows).where("id is not null and typed_categories is not null").withColumn("bare", P.bare_doi(F.col("id")))
     names = citation.last_row(own, "bare", "typed_categories").select(F.col("bare").alias("id"), F.array(F.trim("typed_categories")).alias("categories"))
     refs = F.transform(P.refs_lenient(F.col("citing")), P.bare_doi)
-    return names, ranking.of_journals(rows, target(rows), null_matches=True).select("row", "journal", refs.alias("refs"))
+    return names, ranking.of_periodicals(rows, target(rows), null_matches=True).select("row", "periodical", refs.alias("refs"))
 
 
 def _ku_counts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -304,15 +304,15 @@ def cooc_ku(spark, sf):
 def _td_ku(spark, sf) -> DataFrame:
     counts, found, rows = _ku_counts(spark, sf)
     z = diversity.shared(found, diversity.salton(counts))
-    return rows.select("row", "journal").join(z, "row", "left").withColumn("td", diversity.td_from_similarity(F.col("z")))
+    return rows.select("row", "periodical").join(z, "row", "left").withColumn("td", diversity.td_from_similarity(F.col("z")))
 
 
 def td_ku(spark, sf):
     return _td_ku(spark, sf).select("row", *r6("td"))
 
 
-def journal_td_ku(spark, sf):
-    return _td_ku(spark, sf).where("journal is not null").groupBy("journal").agg(F.round(F.avg("td"), 4).alias("td_mean"))
+def periodical_td_ku(spark, sf):
+    return _td_ku(spark, sf).where("periodical is not null").groupBy("periodical").agg(F.round(F.avg("td"), 4).alias("td_mean"))
 
 
 def similarity_matrix_wide(spark, sf):
@@ -357,36 +357,36 @@ def paper_entropy(spark, sf):
     return entropy.entropy(_shares(spark, sf)).select("row", "n_fields", *r6("entropy"))
 
 
-def journal_entropy(spark, sf):
-    out = entropy.journal_entropy(background(spark, sf).select("row", "journal"), entropy.entropy(_shares(spark, sf)))
-    return out.select("journal", *r6("entropy_mean", "fields_mean"), "n_papers", F.round(P.percent(F.col("entropy_mean"), 500), 3).alias("percent_score"))
+def periodical_entropy(spark, sf):
+    out = entropy.periodical_entropy(background(spark, sf).select("row", "periodical"), entropy.entropy(_shares(spark, sf)))
+    return out.select("periodical", *r6("entropy_mean", "fields_mean"), "n_papers", F.round(P.percent(F.col("entropy_mean"), 500), 3).alias("percent_score"))
 
 
 # Themes
 
 def _theme_counts(spark, sf) -> DataFrame:
-    rows = background(spark, sf).select("journal", "row_no", P.keywords_of_themes(F.col("typed_keywords")).alias("keywords"))
-    return themes.journal_keywords(rows, 5)
+    rows = background(spark, sf).select("periodical", "row_no", P.keywords_of_themes(F.col("typed_keywords")).alias("keywords"))
+    return themes.periodical_keywords(rows, 5)
 
 
-def journal_keyword_counts(spark, sf):
-    return _theme_counts(spark, sf).select("journal", "keyword", "n")
+def periodical_keyword_counts(spark, sf):
+    return _theme_counts(spark, sf).select("periodical", "keyword", "n")
 
 
-def journal_topk_keywords(spark, sf):
+def periodical_topk_keywords(spark, sf):
     return themes.top_keywords(_theme_counts(spark, sf), 5)
 
 
 def theme_prompt(spark, sf):
-    return themes.prompts(themes.top_keywords(_theme_counts(spark, sf), 5), "%s: %s").select("journal", "keywords", "prompt")
+    return themes.prompts(themes.top_keywords(_theme_counts(spark, sf), 5), "%s: %s").select("periodical", "keywords", "prompt")
 
 
 NAMES = (
     "keywords_parse_h keywords_parse_i keywords_parse_topic keywords_parse_theme keywords_parse_notebook categories_parse refs_parse refs_parse_lenient doi_extract doi_normalise "
-    "conference_filter year_filter text_clean doc_top_terms term_source_both label_truncation union_by_name top_n_journals semi_join_target clean_pipeline dup_doi_last_wins first_row_per_doi "
-    "edges_explode citers_two_hop dindex_components dindex_paper dindex_nulldoi_merge journal_disruption_mean journal_enhanced_topk journal_percent_rank ranking_summary graph_nodes graph_edges "
-    "pair_timeline pair_timeline_recent paper_novelty_h journal_novelty_h paper_novelty_i journal_novelty_i novel_pair_drilldown keyword_corpus_stats "
-    "cooc_in salton_similarity rao_stirling td_in journal_td_in cooc_ku td_ku journal_td_ku similarity_matrix_wide "
-    "field_match_exact field_match_fuzzy field_shares paper_entropy journal_entropy journal_keyword_counts journal_topk_keywords theme_prompt"
+    "conference_filter year_filter text_clean doc_top_terms term_source_both label_truncation union_by_name top_n_periodicals semi_join_target clean_pipeline dup_doi_last_wins first_row_per_doi "
+    "edges_explode citers_two_hop dindex_components dindex_paper dindex_nulldoi_merge periodical_disruption_mean periodical_enhanced_topk periodical_percent_rank ranking_summary graph_nodes graph_edges "
+    "pair_timeline pair_timeline_recent paper_novelty_h periodical_novelty_h paper_novelty_i periodical_novelty_i novel_pair_drilldown keyword_corpus_stats "
+    "cooc_in salton_similarity rao_stirling td_in periodical_td_in cooc_ku td_ku periodical_td_ku similarity_matrix_wide "
+    "field_match_exact field_match_fuzzy field_shares paper_entropy periodical_entropy periodical_keyword_counts periodical_topk_keywords theme_prompt"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

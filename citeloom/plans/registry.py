@@ -8,7 +8,7 @@ from citeloom.plans import oracle_sql, problems, reference
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return reference.journal_enhanced_topk(spark, sf)
+    return reference.periodical_enhanced_topk(spark, sf)
 
 
 def queries() -> dict:

@@ -1,4 +1,4 @@
-"""Sinks (OP-05 to OP-11). Files of one piece are for results of one row per journal; large results are written by Spark."""
+"""Sinks (OP-05 to OP-11). Files of one piece are for results of one row per periodical; large results are written by Spark."""
 
 from __future__ import annotations
 
@@ -35,12 +35,12 @@ def write_scores_json(df: DataFrame, path: str, key: str, value: str) -> None:
 
 
 def write_themes_json(df: DataFrame, path: str, source_file: str) -> None:
-    """OP-06: {metadata: {source_file, total_journals}, data: {journal: ...}}."""
-    data = {r["journal"]: {k: v for k, v in r.asDict().items() if k != "journal"} for r in _small(df)}
-    Path(path).write_text(json.dumps({"metadata": {"source_file": source_file, "total_journals": len(data)}, "data": data}, ensure_ascii=False, indent=2), encoding="utf-8")
+    """OP-06: {metadata: {source_file, total_periodicals}, data: {periodical: ...}}."""
+    data = {r["periodical"]: {k: v for k, v in r.asDict().items() if k != "periodical"} for r in _small(df)}
+    Path(path).write_text(json.dumps({"metadata": {"source_file": source_file, "total_periodicals": len(data)}, "data": data}, ensure_ascii=False, indent=2), encoding="utf-8")
 
 
-def write_list(df: DataFrame, path: str, column: str = "journal") -> None:
+def write_list(df: DataFrame, path: str, column: str = "periodical") -> None:
     """OP-07: one value a line, in the order of `df`."""
     Path(path).write_text("".join(f"{r[column]}\n" for r in _small(df)), encoding="utf-8")
 

@@ -47,19 +47,19 @@ def test_disruption_with_papers_in_several_rows(spark, seed):
 
 
 def test_null_keys(spark):
-    target = spark.createDataFrame([("a", "x"), (None, "x"), (None, "y"), (None, None)], "id string, journal string")
+    target = spark.createDataFrame([("a", "x"), (None, "x"), (None, "y"), (None, None)], "id string, periodical string")
     scores = spark.createDataFrame([("a", 0.5)], "id string, d double")
     rows = citation.score_rows(target, scores, "match")
     assert rows.count() == 10
-    assert {r.journal: (r.disruption_mean, r.paper_count) for r in citation.journal_mean(rows).collect()} == {"x": (0.125, 1), "y": (0.0, 0)}
+    assert {r.periodical: (r.disruption_mean, r.paper_count) for r in citation.periodical_mean(rows).collect()} == {"x": (0.125, 1), "y": (0.0, 0)}
     assert citation.score_rows(target, scores).count() == 1
     with pytest.raises(ValueError):
         citation.score_rows(target, scores, "other")
 
 
 def test_enhanced(spark):
-    rows = spark.createDataFrame([("j", str(i), float(i)) for i in range(12)] + [("one", "z", 1.0), (None, "n", 1.0), ("k", None, None)], "journal string, id string, d double")
-    got = {r.journal: (r.n_papers, r.top_k_mean, r.enhanced_disruption) for r in citation.journal_enhanced(rows).collect()}
+    rows = spark.createDataFrame([("j", str(i), float(i)) for i in range(12)] + [("one", "z", 1.0), (None, "n", 1.0), ("k", None, None)], "periodical string, id string, d double")
+    got = {r.periodical: (r.n_papers, r.top_k_mean, r.enhanced_disruption) for r in citation.periodical_enhanced(rows).collect()}
     assert got["j"][:2] == (12, 6.5) and math.isclose(got["j"][2], 6.5 * (0.6 + 0.4 / math.log(13)))
     assert math.isclose(got["one"][2], 1.1770780164, rel_tol=1e-9) and set(got) == {"j", "one"}
 
@@ -148,9 +148,9 @@ def test_scalars(spark):
 
 
 def test_themes(spark):
-    rows = spark.createDataFrame([("j", i, ["b", "a"] if i % 2 else ["a", "c"]) for i in range(5)] + [("k", 9, ["z"]), (None, 10, ["q"])], "journal string, row_no int, keywords array<string>")
-    top = themes.top_keywords(themes.journal_keywords(rows, 5), 2)
-    assert sorted((r.journal, r.place, r.keyword, r.n) for r in top.collect()) == [("j", 1, "a", 5), ("j", 2, "c", 3)]
+    rows = spark.createDataFrame([("j", i, ["b", "a"] if i % 2 else ["a", "c"]) for i in range(5)] + [("k", 9, ["z"]), (None, 10, ["q"])], "periodical string, row_no int, keywords array<string>")
+    top = themes.top_keywords(themes.periodical_keywords(rows, 5), 2)
+    assert sorted((r.periodical, r.place, r.keyword, r.n) for r in top.collect()) == [("j", 1, "a", 5), ("j", 2, "c", 3)]
     asked = themes.prompts(top, "%s|%s")
     assert [r.prompt for r in asked.collect()] == ["j|a, c"]
     assert [r.reply for r in themes.describe(asked).collect()] == ["no description"]
@@ -160,8 +160,8 @@ def test_themes(spark):
 
 
 def test_columns_by_alias(spark):
-    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("doi ", "Journal", "left")
-    aliases = {"DOI": ["DOI", "doi"], "Source Title": ["Source Title", "Journal"], "Year": ["Year"]}
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("doi ", "Periodical", "left")
+    aliases = {"DOI": ["DOI", "doi"], "Source Title": ["Source Title", "Periodical"], "Year": ["Year"]}
     assert ingest.map_columns(df, aliases).columns == ["DOI", "Source Title", "left"]
     assert ingest.map_columns(df, aliases, ["DOI"]).columns == ["DOI"]
     assert ingest.find_column(["x"], ["y"]) is None
@@ -171,8 +171,8 @@ def test_columns_by_alias(spark):
 
 
 def test_rankings(spark):
-    df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0), ("d", None)], "journal string, s double")
-    assert [r.journal for r in ranking.ranked(df, "s").orderBy("rank").collect()] == ["c", "a", "b", "d"]
-    assert [r.journal for r in ranking.head(df, "s", 2).collect()] == ["c", "a"]
-    only = ranking.summary(df.where("journal = 'a'"), "s").first()
+    df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0), ("d", None)], "periodical string, s double")
+    assert [r.periodical for r in ranking.ranked(df, "s").orderBy("rank").collect()] == ["c", "a", "b", "d"]
+    assert [r.periodical for r in ranking.head(df, "s", 2).collect()] == ["c", "a"]
+    only = ranking.summary(df.where("periodical = 'a'"), "s").first()
     assert (only.n, only["mean"], only["std"]) == (1, 1.0, None)

@@ -6,21 +6,21 @@ from citeloom.sources import readers, sinks
 
 
 def test_csv_there_and_back(spark, tmp_path):
-    df = spark.createDataFrame([("Größe, \"x\"\nline", 1.23456, None), ("b", 2.0, "n")], "journal string, score double, note string")
+    df = spark.createDataFrame([("Größe, \"x\"\nline", 1.23456, None), ("b", 2.0, "n")], "periodical string, score double, note string")
     path = str(tmp_path / "out.csv")
     sinks.write_csv(df, path, decimals=2)
     assert open(path, "rb").read().startswith(b"\xef\xbb\xbf")
     back = readers.read_csv(spark, path)
-    assert back.columns == ["journal", "score", "note"]
+    assert back.columns == ["periodical", "score", "note"]
     assert [tuple(r) for r in back.collect()] == [("Größe, \"x\"\nline", "1.23", None), ("b", "2.00", "n")]
 
 
 def test_json_list_matrix_network(spark, tmp_path):
-    df = spark.createDataFrame([("é", 0.5), ("b", 0.25)], "journal string, score double")
-    sinks.write_scores_json(df, str(tmp_path / "s.json"), "journal", "score")
+    df = spark.createDataFrame([("é", 0.5), ("b", 0.25)], "periodical string, score double")
+    sinks.write_scores_json(df, str(tmp_path / "s.json"), "periodical", "score")
     assert json.loads((tmp_path / "s.json").read_text()) == {"é": 0.5, "b": 0.25}
     sinks.write_themes_json(df, str(tmp_path / "t.json"), "x.csv")
-    assert json.loads((tmp_path / "t.json").read_text())["metadata"] == {"source_file": "x.csv", "total_journals": 2}
+    assert json.loads((tmp_path / "t.json").read_text())["metadata"] == {"source_file": "x.csv", "total_periodicals": 2}
     sinks.write_list(df, str(tmp_path / "l.txt"))
     assert (tmp_path / "l.txt").read_text() == "é\nb\n"
     cells = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5)], "i string, j string, s double")

@@ -70,13 +70,13 @@ def test_entropy_counts_similar_keywords(spark, keyword_tables):
     assert got == {row: (len(hits), round(bits(hits), 6)) for row, hits in shares_by_hand().items()}
 
 
-def test_journals_count_similar_keywords(spark, keyword_tables):
+def test_periodicals_count_similar_keywords(spark, keyword_tables):
     by_row, want = shares_by_hand(), defaultdict(list)
-    for n, (journal, _) in enumerate(KEYWORDS):
+    for n, (periodical, _) in enumerate(KEYWORDS):
         hits = by_row.get(row_of(n), Counter())
-        want[journal or "Unknown"].append((bits(hits) if hits else 0.0, len(hits)))
-    for r in reference.journal_entropy(spark, keyword_tables).collect():
-        rows = want.pop(r.journal)
+        want[periodical or "Unknown"].append((bits(hits) if hits else 0.0, len(hits)))
+    for r in reference.periodical_entropy(spark, keyword_tables).collect():
+        rows = want.pop(r.periodical)
         mean = sum(e for e, _ in rows) / len(rows)
         assert (r.n_papers, r.entropy_mean, r.fields_mean) == (len(rows), pytest.approx(mean, abs=1e-6), pytest.approx(sum(f for _, f in rows) / len(rows), abs=1e-6))
         assert r.percent_score == pytest.approx(mean * 500, abs=1e-3)
