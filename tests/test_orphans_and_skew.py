@@ -72,3 +72,38 @@ def test_percentile_of_nothing(spark):
     assert skew.key_percentile(none, 0.5).count() == 0 and skew.key_stats(none).count() == 0
     with pytest.raises(ValueError):
         skew.key_percentile(none, 0)
+
+
+def test_lookups_and_joins_with_one_key_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY_KEYS", 2)
+    rng = random.Random(2)
+    left = [("hot" if rng.random() < 0.9 else rng.choice([None, *"abcdefgh"]), i) for i in range(500)]
+    right = [("hot" if rng.random() < 0.5 else rng.choice([None, *"abcxyz"]), -i) for i in range(80)]
+    a, b = spark.createDataFrame(left, "k string, x int"), spark.createDataFrame(right, "k string, y int")
+    assert {r[0] for r in skew.heavy_keys(a, "k").collect()} == {"hot"}
+    want = Counter((k, x, y) for k, x in left for q, y in right if k is not None and k == q)
+    assert Counter(map(tuple, skew.spread_join(a, b, "k").select("k", "x", "y").collect())) == want
+    table = {k: y for k, y in right if k is not None}
+    one = spark.createDataFrame(list(table.items()), "k string, y int")
+    got = Counter((r.k, r.x, r.y) for r in skew.lookup(a, one, "k").collect())
+    assert got == Counter((k, x, table.get(k)) for k, x in left)
+    assert skew.lookup(a, one, "k", "inner").count() == sum(k in table for k, _ in left)
+    assert skew.lookup(a.limit(0), one, "k").count() == skew.spread_join(a, b.limit(0), "k").count() == 0
+    with pytest.raises(ValueError):
+        skew.lookup(a, one, "k", "right")
+
+
+def test_no_task_gets_most_rows_of_a_hot_key(spark):
+    """Without AQE, one key in 90 % of the rows: the joined rows are spread over the tasks."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+        b = spark.range(400).select(F.when(F.col("id") % 10 < 5, F.lit(0)).otherwise(F.col("id") * 10 + 9).alias("k"), F.col("id").alias("y"))
+        sizes = [r[1] for r in skew.spread_join(a, b, "k").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) >= 18_000 * 200 and max(sizes) < sum(sizes) / 5
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
