@@ -75,6 +75,74 @@ def test_edits_are_found_and_strangers_are_not(spark, sf):
     assert all(index.find(f"{a} bestiary") == -1 for a in firsts)
 
 
+LONG = [(1, "photosynthesis"), (2, "deep learning"), (3, "alpha bravo charlie delta foxtrot golfing hotels")]
+
+
+@pytest.mark.parametrize(
+    "typed,want",
+    [
+        ("photosynthss", 1), ("phtosynthesi", 1), ("photoosynthesiss", 1), ("fotosynthesis", 1), ("photosnthss x", -1), ("recent advances in deep learning", 2), ("deep learning applications", 2),
+        ("deep learning techniques", 2), ("advanced deep learning", 2), ("deeplearnig", 2), ("review of depelearning", 2), ("a study of deeplearning", 2), ("deep sea", -1), ("deep learning; deep learning", 2),
+        ("hotels golfing foxtrot delta charlie bravo alpha", 3), ("hote. golf. foxtrot delta charlie bravo alph.", 3), ("hotels golfing foxtrot delta charlie alpha", -1), ("learning deep " * 3000, 2), ("x y " * 5000, -1),
+    ],
+)
+def test_long_terms_and_two_edits(typed, want):
+    assert mapping.TermIndex(LONG).find(" ".join(typed.lower().split())) == want
+
+
+def test_assignment():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, 6)
+        cost = [[rng.choice([0, 1, 2, 3]) for _ in range(n)] for _ in range(n)]
+        assert mapping.assignment(cost) == min(sum(cost[k][o] for k, o in enumerate(p)) for p in itertools.permutations(range(n)))
+
+
+def misspelled(text, edits, rng):
+    for _ in range(edits):
+        at, c = rng.randrange(len(text)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        text = rng.choice([text[:at] + text[at + 1 :], text[:at] + c + text[at:], text[:at] + c + text[at + 1 :], text[:at] + text[at : at + 2][::-1] + text[at + 2 :]])
+    return " ".join(text.split())
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_recall_at_two_edits(spark, sf, single):
+    terms = [(r[0], r[1].lower()) for r in spark.read.parquet(f"{sf}/field_terms.parquet").select("term_id", "term").collect()]
+    if single:
+        terms = list(enumerate(sorted({w for _, t in terms for w in mapping.words(t) if len(w) >= 8})))
+    index, rng, hits = mapping.TermIndex(terms), random.Random(3), 0
+    for i, term in terms:
+        typed = misspelled(term, 2, rng)
+        hits += index.find(typed) == i or typed in index.exact
+    assert hits >= 0.95 * len(terms)
+
+
+def test_candidates_are_those_of_brute_force(spark, sf):
+    terms = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/field_terms.parquet").select("term_id", "term").collect()][:60]
+    index, rng = mapping.TermIndex(terms), random.Random(4)
+    for i, term in terms:
+        typed = misspelled(term.lower().replace(" ", "", 1), rng.randint(1, 2), rng)
+        parts = mapping.words(typed)
+        near = [(mapping.distance("".join(parts), "".join(index.tokens[k]), 2), 0, k) for k in index.tokens]
+        assert index.similar(typed, parts)[0] <= min(near)[0] or min(near)[0] > 2 or len(parts) == len(index.tokens[min(near)[2]])
+
+
+def test_fillers_are_learned_and_long_lists_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "VALUES_A_GROUP", 20)
+    terms = [(k, f"{a} {b}") for k, (a, b) in enumerate(itertools.product(["granular", "collapsing", "weaving"], ["tensors", "lanterns", "harbours", "almanacs"]))] + [(90, None), (None, "ghost"), (91, "Granular Tensors")]
+    rng = random.Random(5)
+    typed = [f"{t} zzfiller" for _, t in terms[:9]] + ["granular tensors crawl", "tensors, zzfiller weaving", "zzfiller", "collapsinglanterns zzfiller", "Granular  tensors", "", "..."]
+    typed += [misspelled(t, rng.randint(1, 3), rng) for _, t in terms[:12] for _ in range(4)] + ["granular tensors"] * 40
+    rows = [(n, t.replace(";", "")) for n, t in enumerate(typed)] + [(None, "weaving harbours"), (5, None)]
+    df, listed = spark.createDataFrame(rows, "record_id long, Keywords string"), spark.createDataFrame(terms, "term_id long, term string")
+    one = Counter(map(tuple, mapping.map_values(df, listed).collect()))
+    known = {r[3]: r[4] for r in one}
+    assert known["granular tensors zzfiller"] == 0 and known["granular tensors crawl"] == -1 and known["zzfiller"] == -1 and known["collapsinglanterns zzfiller"] == 5
+    monkeypatch.setattr(mapping, "TERMS_A_BLOCK", 5)
+    assert Counter(map(tuple, mapping.map_values(df, listed).collect())) == one
+    assert {r.term_id for r in mapping.map_values(df, listed, fillers=frozenset()).collect() if "zzfiller" in r.plain} == {-1}
+
+
 def test_map_values(spark):
     terms = spark.createDataFrame(TERMS + [(10, None), (None, "ghost")], "term_id long, term string")
     df = spark.createDataFrame([(1, "open datasets; Open  Dataset; mystery"), (2, None), (None, "mystery"), (2, "")], "record_id long, Keywords string")
