@@ -5,52 +5,115 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import pick
 from citeloom.session import materialize
 
-#: Blocks of the whole mix; more blocks mean finer shares.
-BLOCKS = 100_000
-#: A source is cut into shards of about so many tokens, MOST_SHARDS at most: a shard is one task's work, and rounds by up to half a text.
-SHARD_TOKENS, MOST_SHARDS = 4_000_000, 10_000
-#: Times that the gap of a shard's last round is filled.
-FILLS = 4
-#: Sources are listed on the driver; more are refused.
+#: Blocks of the whole mix that sources get by quotients; more blocks mean finer shares.
+BLOCKS = 10_000_000
+#: A source of n texts is cut into about sqrt(n) / SHARDS_BY shards, each in blocks of TEXTS_A_BLOCK mean texts,
+#: so that a shard and the texts that round a source off both are some sqrt(n) rows: the most that one task holds.
+SHARDS_BY, TEXTS_A_BLOCK = 4, 8
+#: The last gap of a source is closed by the best subset of so many of its smallest texts, of so many tokens in all.
+RESERVE, RESERVE_TOKENS = 256, 1 << 21
+#: The list of weights is held by the driver, a row per source; a longer one is refused.
 MOST_SOURCES = 100_000
 
 
-def sainte_lague(weights: Mapping[object, float], seats: int, caps: Mapping[object, int] | None = None) -> dict[object, int]:
-    """Seats by highest quotients weight / (2 k + 1); a party at its cap gets no more. Ties go to the smaller name.
+def apportion(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
+    """Seats by highest quotients weight / (2 k + 1); a party at its cap gets no more. Ties go to the earlier party.
 
-    The first seats are given at once from below the exact share, the rest one by one, with the same
-    result as one by one from the start.
+    Seats that every divisor method step gives are found at once by halving the divisor's range; the few
+    left are given one by one, with the same result as one by one from the start.
     """
-    caps = caps or {}
-    cap = {k: caps.get(k, seats) for k in weights}
-    total = sum(w for w in weights.values() if w > 0)
-    out = dict.fromkeys(weights, 0)
-    if total <= 0:
+    out = np.zeros(len(weights), np.int64)
+    open_ = weights > 0
+    if seats <= 0 or not open_.any():
         return out
-    parties = sorted(k for k, w in weights.items() if w > 0)
-    # A party gets no fewer than floor(share) - 1 for the divisor that fits all, less one per party to be safe.
-    for k in parties:
-        out[k] = min(cap[k], max(0, int(seats * weights[k] / total) - len(parties)))
-    left = seats - sum(out.values())
-    heap = [(-weights[k] / (2 * out[k] + 1), k) for k in parties if out[k] < cap[k]]
+    w, c = np.where(open_, weights, 0.0).astype(np.float64), np.where(open_, caps, 0)
+    at = lambda x: np.minimum(c, np.floor(np.minimum(x * w, 4e18) + 0.5).astype(np.int64))
+    low, high = 0.0, (2.0 * seats + 2) / w[open_].min()
+    for _ in range(200):
+        mid = (low + high) / 2
+        if at(mid).sum() <= seats:
+            low = mid
+        else:
+            high = mid
+        if high - low <= 1e-12 * high:
+            break
+    out = at(low * (1 - 1e-11))
+    left = seats - int(out.sum())
+    heap = [(-w[k] / (2 * out[k] + 1), k) for k in np.flatnonzero(out < c)]
     heapq.heapify(heap)
     while left > 0 and heap:
         _, k = heapq.heappop(heap)
         out[k] += 1
         left -= 1
-        if out[k] < cap[k]:
-            heapq.heappush(heap, (-weights[k] / (2 * out[k] + 1), k))
+        if out[k] < c[k]:
+            heapq.heappush(heap, (-w[k] / (2 * out[k] + 1), k))
     return out
 
 
+def sainte_lague(weights: Mapping[object, float], seats: int, caps: Mapping[object, int] | None = None) -> dict[object, int]:
+    """`apportion` by name; ties go to the smaller name."""
+    names = sorted(weights)
+    given = apportion(np.array([weights[k] for k in names], float), seats, np.array([(caps or {}).get(k, seats) for k in names], np.int64)) if names else []
+    return {k: int(n) for k, n in zip(names, given)}
+
+
+def best_subset(sizes: list[int], target: int) -> list[int]:
+    """Positions of the sizes whose sum is nearest to the target, below it rather than above; exact.
+
+    Bit n of a number says whether some subset of the sizes so far sums to n.
+    """
+    most = 2 * target + 1  # a sum above twice the target is no nearer than none
+    reached = [1]
+    for n in sizes:
+        reached.append((reached[-1] | reached[-1] << n) & ((1 << most) - 1))
+    sums = reached[-1]
+    below = (sums & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = sums >> (target + 1)
+    best = below
+    if above:
+        nearest = target + 1 + (above & -above).bit_length() - 1
+        best = nearest if nearest - target < target - below else below
+    taken = []
+    for k in range(len(sizes) - 1, -1, -1):
+        if not reached[k] >> best & 1:
+            taken.append(k)
+            best -= sizes[k]
+    return taken
+
+
+def fill(sizes: np.ndarray, target: int) -> np.ndarray:
+    """Which sizes, in their order, to take for a sum as near to the target as can be found: large ones that fit, then the best subset of the RESERVE smallest."""
+    take = np.zeros(len(sizes), bool)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    gap = int(target)
+    sums = np.cumsum(sizes[order[::-1]][:RESERVE])
+    n_small = max(1, int(np.searchsorted(sums, RESERVE_TOKENS, side="right")))
+    for k in order[:-n_small]:
+        if sizes[k] <= gap:
+            take[k] = True
+            gap -= int(sizes[k])
+    small = order[-n_small:]
+    if gap > 0 and len(small):
+        if int(sizes[small].sum()) <= gap:
+            take[small] = True
+        elif len(small) == 1:
+            take[small] = int(sizes[small[0]]) < 2 * gap
+        else:
+            take[small[best_subset([int(n) for n in sizes[small]], gap)]] = True
+    return take
+
+
 def sized_texts(documents: DataFrame, weights: DataFrame, count_tokens) -> DataFrame:
-    """(doc_id, source, n_tokens): each distinct non-empty text once.
+    """(hash, doc_id, source, n_tokens): each distinct non-empty text once.
 
     A text in several rows stands for its least doc_id, among sources with a weight if it is in one:
     the cap on repeats counts for the text, not for its copies. Tokens are counted first, so that only
@@ -60,7 +123,34 @@ def sized_texts(documents: DataFrame, weights: DataFrame, count_tokens) -> DataF
     rows = documents.where("text is not null and text <> ''").withColumn("n_tokens", count_tokens(F.col("text")))
     rows = rows.select("doc_id", "source", "n_tokens", F.unhex(F.sha2("text", 256)).alias("hash")).join(listed, F.col("source") == F.col("listed"), "left")
     first = F.min(F.struct(F.col("listed").isNull().alias("other"), "doc_id", "source", "n_tokens")).alias("first")
-    return rows.groupBy("hash").agg(first).select("first.doc_id", "first.source", "first.n_tokens")
+    return rows.groupBy("hash").agg(first).select("hash", "first.doc_id", "first.source", "first.n_tokens")
+
+
+def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
+    """Each shard's part of its source's last round, in whole blocks."""
+    shards = shards.sort_values("shard")
+    block, rest = int(shards["block"].iloc[0]), int(shards["rest"].iloc[0])
+    given = apportion(shards["size"].to_numpy(float), rest // block, -(-shards["size"].to_numpy(np.int64) // block))
+    return shards[["source", "shard"]].assign(quota=given * block)
+
+
+def _seeded_blocks(texts: pd.DataFrame) -> pd.DataFrame:
+    """One shard: its blocks in seeded order as long as they fit into its quota; the next two may round the source off."""
+    texts = texts.sort_values(["turn", "doc_id"], kind="stable")
+    sizes, block, quota = texts["n_tokens"].to_numpy(np.int64), int(texts["block"].iloc[0]), int(texts["quota"].iloc[0])
+    upto = np.cumsum(sizes)
+    nth = (upto - sizes) // block
+    # Texts stand in an order drawn by the seed, so blocks do too: a block's place is that of its first text.
+    names, of = np.unique(nth, return_inverse=True)
+    ends = np.cumsum(np.bincount(of, weights=sizes, minlength=len(names))).astype(np.int64)
+    whole = int(np.searchsorted(ends, quota, side="right"))
+    return texts[["hash", "doc_id", "source", "n_tokens"]].assign(taken=of < whole, next=(of >= whole) & (of <= whole + 1))
+
+
+def _round_off(texts: pd.DataFrame) -> pd.DataFrame:
+    texts = texts.sort_values(["turn", "doc_id"], kind="stable")
+    take = fill(texts["n_tokens"].to_numpy(np.int64), int(texts["gap"].iloc[0]))
+    return texts.loc[take, ["hash"]]
 
 
 def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens: int | None = None, seed: int = 0, shards: int | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
@@ -79,9 +169,13 @@ def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens:
     at their cap stay there and the others go on by their quotients.
 
     The total is cut into equal blocks of tokens, and Sainte-Lague's quotients give each source its
-    blocks, and each shard of a source its part of them. In a shard all texts are repeated as often as
-    its blocks go round, and a last round takes texts in seeded order that fit into the size left. Shards are by
-    seeded hash, so one large source is spread over all of them, and the same seed gives the same mix.
+    blocks. All texts of a source are repeated as often as its tokens go round. For the last round each
+    shard of the source gets its part of whole blocks by the same quotients, and its blocks are taken in
+    seeded order. What is left, less than a block per shard, is closed by texts of the shards' next
+    two blocks: large ones that fit, then the subset that comes nearest.
+
+    Shards are by seeded hash, so one large source is spread over all its shards, and the same seed gives
+    the same mix. No task holds more than some sqrt(n) texts of n, and the driver holds a row per source.
     Sources with a weight but no tokens, or that may not occur, get nothing; the others keep their
     proportions. Null and empty texts are never in the mix. Repeated rows count once. With no documents
     or no weights nothing is mixed and all shares are 0.
@@ -96,49 +190,37 @@ def mix(documents: DataFrame, weights: DataFrame, count_tokens, *, total_tokens:
     share = {k: v / whole for k, v in share.items()}
     most = {r["source"]: max(int(r["r"] or 0), 0) for r in rows}
 
-    sized = sized_texts(documents, weights, count_tokens)
-    sized = materialize(sized.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id")))
-    if shards is None:
-        available = sized.agg(F.sum("n_tokens")).first()[0] or 0
-        shards = min(MOST_SHARDS, 1 + available // SHARD_TOKENS)
-    sized = sized.withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int"))
-
-    # A row per source and shard.
-    held = {(r[0], r[1]): r[2] for r in sized.where(F.col("source").isin(list(share))).groupBy("source", "shard").agg(F.sum("n_tokens")).collect()}
-    size: dict[str, int] = dict.fromkeys(share, 0)
-    for (s, _), n in held.items():
-        size[s] += n
-    usable = {s: w for s, w in share.items() if size[s] > 0 and most[s] > 0}
+    spark = documents.sparkSession
+    sized = materialize(sized_texts(documents, weights, count_tokens))
+    listed = F.broadcast(spark.createDataFrame([(s,) for s in share], "source string"))
+    totals = sized.join(listed, "source", "left_semi").groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()  # a row per source with a weight
+    size, texts = {r[0]: int(r[1]) for r in totals}, {r[0]: int(r[2]) for r in totals}
+    usable = {s: w for s, w in share.items() if size.get(s, 0) > 0 and most[s] > 0}
     if total_tokens is None:
         total_tokens = int(min((most[s] * size[s] / w for s, w in usable.items()), default=0))
-    block = max(1, total_tokens // blocks)
-    seats = total_tokens // block
-    quota = sainte_lague(usable, seats, {s: most[s] * size[s] // block for s in usable})
-    wanted: list[tuple[str, int, int, int]] = []
-    for s, n in quota.items():
-        parts = {k[1]: v for k, v in held.items() if k[0] == s and v > 0}
-        # A cap may cut a block; the last one of a shard is then taken as far as it goes.
-        given = sainte_lague(parts, n, {k: -(-most[s] * v // block) for k, v in parts.items()})
-        for k, g in given.items():
-            tokens = min(g * block, most[s] * parts[k])
-            wanted.append((s, k, tokens // parts[k], tokens % parts[k]))
-    spark = documents.sparkSession
-    plan = F.broadcast(spark.createDataFrame(wanted, "source string, shard int, rounds bigint, rest bigint"))  # at most sources x shards rows
-    joined = sized.join(plan, ["source", "shard"], "left")
-    group = Window.partitionBy("source", "shard")
-    run = group.orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    # The last round takes texts in seeded order as long as they fit, then those that fit into the gap left, and so on.
-    joined = joined.withColumns({"gap": F.coalesce("rest", F.lit(0)), "taken": F.lit(False)})
-    for _ in range(FILLS):
-        joined = joined.withColumn("fits", ~F.col("taken") & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= F.col("gap")))
-        joined = joined.withColumn("new", F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("n_tokens")).otherwise(0)).over(run) <= F.col("gap")))
-        joined = joined.withColumns({"gap": F.col("gap") - F.sum(F.when(F.col("new"), F.col("n_tokens")).otherwise(0)).over(group), "taken": F.col("taken") | F.col("new")})
-    # What is left may be nearer to one more text than to none.
-    last = ~F.col("taken") & (F.col("n_tokens") > 0) & (F.col("n_tokens") < 2 * F.col("gap"))
-    joined = joined.withColumn("last", last)
-    nth = F.row_number().over(group.orderBy(F.col("last").desc(), "n_tokens", "turn", "doc_id"))
-    extra = (F.col("taken") | (F.col("last") & (nth == 1))).cast("int")
-    repeats = F.when(F.col("n_tokens") > 0, F.coalesce(F.col("rounds") + extra, F.lit(0))).otherwise(0).cast("int")
+    unit = max(1, total_tokens // blocks)
+    caps = {s: most[s] * size[s] // unit for s in usable}
+    seats = sainte_lague(usable, total_tokens // unit, caps)
+    plan = []
+    for s, n in seats.items():
+        tokens = most[s] * size[s] if n == caps[s] else n * unit  # a cap may cut a block
+        parts = shards or 1 + int(texts[s] ** 0.5) // SHARDS_BY
+        plan.append((s, tokens // size[s], tokens % size[s], parts, max(1, TEXTS_A_BLOCK * size[s] // texts[s])))
+    plan = F.broadcast(spark.createDataFrame(plan, "source string, rounds bigint, rest bigint, parts int, block bigint"))
+
+    # Only sources with a last round are cut into shards.
+    turn = F.xxhash64(F.lit(seed), "hash")
+    open_ = sized.join(plan.where("rest > 0"), "source").withColumns({"turn": turn, "shard": F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "hash"), F.col("parts")).cast("int")})
+    sizes = open_.groupBy("source", "shard", "block", "rest").agg(F.sum("n_tokens").alias("size")).where("size > 0")
+    quotas = sizes.groupBy("source").applyInPandas(_shard_quotas, "source string, shard int, quota bigint")
+    asked = open_.select("source", "shard", "hash", "doc_id", "n_tokens", "turn", "block").join(quotas, ["source", "shard"])
+    drawn = materialize(asked.groupBy("source", "shard").applyInPandas(_seeded_blocks, "hash binary, doc_id bigint, source string, n_tokens bigint, taken boolean, next boolean"))
+    gaps = drawn.groupBy("source").agg(F.sum(F.when(F.col("taken"), F.col("n_tokens")).otherwise(0)).alias("got")).join(plan, "source").select("source", (F.col("rest") - F.col("got")).alias("gap"))
+    ends = drawn.where("next").join(gaps, "source").select("hash", "doc_id", "source", "n_tokens", "gap", turn.alias("turn"))
+    rounded = ends.groupBy("source").applyInPandas(_round_off, "hash binary")
+    last = drawn.where("taken").select("hash").unionByName(rounded).withColumn("extra", F.lit(1))
+    joined = sized.join(plan.select("source", "rounds"), "source", "left").join(last, "hash", "left")
+    repeats = F.when(F.col("n_tokens") > 0, F.coalesce(F.col("rounds") + F.coalesce("extra", F.lit(0)), F.lit(0))).otherwise(0).cast("int")
     copies = joined.select("doc_id", "source", "n_tokens", repeats.alias("repeats"))
 
     targets = spark.createDataFrame([(r["source"], share.get(r["source"], 0.0), most[r["source"]]) for r in rows] or [], "source string, target_share double, max_repeats int")

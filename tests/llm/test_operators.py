@@ -244,6 +244,28 @@ def test_apportionment():
         assert mixing.sainte_lague(weights, seats, caps) == one_by_one(weights, seats, caps)
 
 
+def test_best_subset():
+    rng = random.Random(8)
+    for _ in range(300):
+        sizes = [rng.randint(1, 30) for _ in range(rng.randint(0, 9))]
+        target = rng.randint(0, 60)
+        near = min(((abs(sum(c) - target), sum(c)) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n)), default=(target, 0))
+        taken = mixing.best_subset(sizes, target)
+        assert sum(sizes[k] for k in taken) == near[1] and len(set(taken)) == len(taken)
+
+
+def test_fill_closes_the_gap():
+    # Small texts first would leave a gap that no small text is left for.
+    sizes = np.array([21_251, 5_633, 10_000, 4_000, 3_000, 2_500, 404, 0])
+    assert sizes[mixing.fill(sizes, 26_884)].sum() == 26_884
+    rng = np.random.default_rng(1)
+    many = rng.integers(1, 900, 4000)
+    for target in (0, 1, 77, 12_345, 400_000, int(many.sum())):
+        assert sizes[mixing.fill(sizes, 0)].sum() == 0 and many[mixing.fill(many, target)].sum() == target
+    huge = np.array([50_000_000] * 300)
+    assert huge[mixing.fill(huge, 130_000_000)].sum() == 150_000_000
+
+
 def size(text):
     return F.size(F.split(text, " ")).cast("bigint")
 
@@ -266,6 +288,9 @@ def test_mix(spark, total):
     assert rows["odd"].mixed_tokens == rows[None].mixed_tokens == rows["gone"].mixed_tokens == 0
     if total is None:
         assert all(abs(rows[s].reached_share - w) < 0.01 for s, w in (("big", 0.5), ("mid", 0.3), ("tiny", 0.2)))
+        # Each source is within half its smallest text of its share; one is at its cap.
+        whole = min(most[s] * rows[s].available_tokens / w for s, w in (("big", 0.5), ("mid", 0.3), ("tiny", 0.2)))
+        assert all(abs(rows[s].mixed_tokens - w * whole) <= 1.5 for s, w in (("big", 0.5), ("mid", 0.3), ("tiny", 0.2)))
     else:  # more than the corpus can give: all is repeated as often as allowed
         assert all(rows[s].mixed_tokens == most[s] * rows[s].available_tokens for s in most)
     assert copies.count() == docs.where("text <> ''").select("text").distinct().count()
