@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import materialize
+from citeloom.operators.skew import heavy_keys
 
-#: A hot key has more than 1/HOT_KEYS of all rows, so there are at most so many.
+#: A hot key has more than one part in so many of all rows, or in twice as many as there are shuffle partitions.
 HOT_KEYS = 1000
 SALTS = 64
 
 
 def salt(column: str = "id"):
-    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+    """A place by the column, or by the row where it is null."""
+    return F.pmod(F.when(F.col(column).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(column)), F.lit(SALTS)).cast("int")
 
 
 def hot_keys(rows: DataFrame) -> DataFrame:
-    """(key): exactly the keys with more than 1/HOT_KEYS of the rows, from counts combined before the shuffle."""
-    counts = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
-    return materialize(counts.where(F.col("n") > max(rows.count() / HOT_KEYS, 1)).select("key"))
+    """(key): exactly the hot keys, from counts combined before the shuffle."""
+    return heavy_keys(rows, least=HOT_KEYS)
 
 
 def class_pairs(members: DataFrame, hot: DataFrame, a: str, b: str, differ: str | None = None) -> DataFrame:

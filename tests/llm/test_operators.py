@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.llm import cooccurrence, dedup, mapping, mixing, pairs, term_frequency, visual
+from citeloom.operators import skew
 
 
 # Copies
@@ -328,6 +329,55 @@ def test_forms(spark):
     assert len(set(singles)) == len(DIFFERENT) and singles == [unicodedata.normalize("NFC", t) for t in DIFFERENT]
 
 
+MORE = [
+    ("한국어 각", unicodedata.normalize("NFD", "한국어 각")), ("값", "가\u11b9"), ("가\u0301", "\u1100\u200b\u1161\u0301"), ("ӏ", "l"), ("Ԍ", "G"), ("Ү", "Y"), ("օ", "o"), ("Ꭺ", "A"), ("don\u02bct", "don\u2019t"), ("ⅰⅳ", "iiv"), ("Ⅻ", "XII"),
+    ("a\u180fb", "ab"), ("ｶﾞﾊﾟ", "ガパ"), ("ﾡ", "ㄱ"), ("e\u200b\u200d\u0301", "é"), ("é\ufe0f", "é"), ("ГПФ", "ΓΠΦ"), ("ꓮꓐ", "AB"), ("￣", "¯"), ("ȧ\u0323", "ạ\u0307"),
+]
+APART = ["ᄀ", "ᅡ", "ᄀ\u0301\u1161", "가\u1161", "각\u11a8", "β", "ß", "г", "r", "ı", "i", "σ", "o", "α", "a", "\u0301", "\u0301\u0302", "ｶ", "が"]
+
+
+def test_more_forms(spark):
+    rows = [(k, t) for k, p in enumerate(MORE) for t in p] + [(100 + k, t) for k, t in enumerate(APART)]
+    got = defaultdict(set)
+    for r in visual.one_form(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.form)
+    for k, pair in enumerate(MORE):
+        assert len(got[k]) == 1, (pair, got[k])
+    assert len({next(iter(got[100 + k])) for k in range(len(APART))}) == len(APART)
+
+
+def test_look_alikes_are_in_the_public_table(spark):
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    pairs_ = [(a, b) for seen, one in visual.ALIKE for a, b in zip(seen, one, strict=True)]
+    left, right = (checker.getSkeleton("\n".join(x)).split("\n") for x in zip(*pairs_))
+    # The table puts the small palochka elsewhere; it is a plain upright stroke like l.
+    assert [p for p, a, b in zip(pairs_, left, right) if a != b] == [("ӏ", "l")]
+
+
+def test_hangul_is_composed_by_the_standard_rule(spark):
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.choice([*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3), *range(0xAC00, 0xAC60), 0x301, 0x323])) for _ in range(20)) for _ in range(200)]
+    for r in visual.one_form(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.form == unicodedata.normalize("NFC", texts[r.doc_id]), texts[r.doc_id].encode("unicode_escape")
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_a_text_in_a_third_of_all_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(visual, "MOST_CLUSTERS", most)
+    monkeypatch.setattr(visual, "MOST_ALIKE", most)
+    monkeypatch.setattr(pairs, "HOT_KEYS", 20)
+    monkeypatch.setattr(skew, "HEAVY_KEYS", 2)
+    texts = ["cafe\u0301", "café", "раth", "path", "сafé", "x\u0323\u0301y", "other", None, "\u200b"]
+    rows = [(i, texts[0] if i % 3 == 0 else texts[i % 9]) for i in range(90)] + [(None, "café")]
+    same = {0: 0, 1: 0, 4: 0, 2: 1, 3: 1}
+    form = lambda t: same.get(texts.index(t)) if t in texts else None
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(a, b) for (a, s), (b, t) in itertools.combinations(rows[:90], 2) if s and t and s != t and form(s) is not None and form(s) == form(t)}
+    got = [tuple(r) for r in visual.alike_pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert visual.one_form(df).where("form = 'café'").count() == sum(form(t) == 0 for _, t in rows if t)
+
+
 def test_recomposition_is_the_standard_one(spark):
     rng = random.Random(8)
     marks = [chr(c) for c in (0x301, 0x302, 0x308, 0x323, 0x327, 0x30A, 0x31B, 0x345, 0x5B0)]
