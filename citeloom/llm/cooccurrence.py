@@ -11,10 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators.skew import lookup
 from citeloom.session import materialize
 
 #: A partition's associative arrays are handed on when they hold this many entries.
 ENTRIES = 2_000_000
+#: Neighbours in one row of a long stripe, and rows that are handed on together; a batch thereby stays small.
+PART, ROWS = 256, 10_000
 #: The neighbours of one item are spread over so many stripes, so that no stripe holds all of a frequent item's.
 BLOCKS = 16
 STRIPE = "field_name string, item_a string, block int, neighbours array<string>, counts array<bigint>"
@@ -41,23 +44,29 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _stripes(field: str, keys: np.ndarray, counts: np.ndarray, names: pa.Array, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per item and block: its neighbours and how often each stood beside it."""
+    """One row per item and block: its neighbours and how often each stood beside it; long ones in rows of PART neighbours."""
     a, b = keys >> 32, keys & 0xFFFFFFFF
     block = blocks[b]
     order = np.lexsort((b, block, a))
     a, b, block, counts = a[order], b[order], block[order], counts[order]
-    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (block[1:] != block[:-1])])
-    bounds = pa.array(np.r_[new, len(a)], pa.int32())
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([field] * len(new), pa.string()),
-            names.take(pa.array(a[new])),
-            pa.array(block[new], pa.int32()),
-            pa.ListArray.from_arrays(bounds, names.take(pa.array(b))),
-            pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int64())),
-        ],
-        names=["field_name", "item_a", "block", "neighbours", "counts"],
-    )
+    starts = np.r_[True, (a[1:] != a[:-1]) | (block[1:] != block[:-1])]
+    place = np.arange(len(a)) - np.maximum.accumulate(np.where(starts, np.arange(len(a)), 0))
+    new = np.flatnonzero(place % PART == 0)
+    bounds = np.r_[new, len(a)]
+    for k in range(0, len(new), ROWS):
+        at, ends = new[k : k + ROWS], bounds[k : k + ROWS + 1]
+        low, high = ends[0], ends[-1]
+        cuts = pa.array(ends - low, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([field] * len(at), pa.string()),
+                names.take(pa.array(a[at])),
+                pa.array(block[at], pa.int32()),
+                pa.ListArray.from_arrays(cuts, names.take(pa.array(b[low:high]))),
+                pa.ListArray.from_arrays(cuts, pa.array(counts[low:high], pa.int64())),
+            ],
+            names=["field_name", "item_a", "block", "neighbours", "counts"],
+        )
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,33 +105,31 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes sorted by (field, item, block): those of one key are merged, and come out as pairs."""
+    """Stripes sorted by (field, item, block): those of one key are merged as they come, and come out as pairs.
 
-    def merged(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
+    Of a key that goes on in the next batch only its merged array is held, one entry per neighbour.
+    """
+    key = ["field_name", "item_a", "block"]
+    kinds = pa.schema([("field_name", pa.string()), ("item_a", pa.string()), ("block", pa.int32()), ("item_b", pa.string()), ("n_ab", pa.int64())])
+
+    def entries(batch: pa.RecordBatch) -> pa.Table:
+        table = pa.Table.from_batches([batch]).rename_columns([*key, "neighbours", "counts"])
         flat = table.column("neighbours").combine_chunks()
-        sizes = pc.list_value_length(flat).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(table.num_rows), sizes)
-        pairs = pa.table({
-            "field_name": table.column("field_name").take(pa.array(row)), "item_a": table.column("item_a").take(pa.array(row)),
-            "item_b": flat.flatten(), "n_ab": table.column("counts").combine_chunks().flatten(),
-        })
-        done = pairs.group_by(["field_name", "item_a", "item_b"], use_threads=False).aggregate([("n_ab", "sum")])
-        yield from done.select(["field_name", "item_a", "item_b", "n_ab_sum"]).rename_columns(["field_name", "item_a", "item_b", "n_ab"]).to_batches()
-
-    names = ["field_name", "item_a", "block", "neighbours", "counts"]
-    held = pa.table({"field_name": pa.array([], pa.string()), "item_a": pa.array([], pa.string()), "block": pa.array([], pa.int32()), "neighbours": pa.array([], pa.list_(pa.string())), "counts": pa.array([], pa.list_(pa.int64()))})
-    plain = held.schema
+        row = pa.array(np.repeat(np.arange(table.num_rows), pc.list_value_length(flat).to_numpy(zero_copy_only=False)))
+        columns = [table.column(c).take(row) for c in key]
+        return pa.table([*columns, flat.flatten(), table.column("counts").combine_chunks().flatten()], names=kinds.names).cast(kinds)
+
+    held = kinds.empty_table()
     for batch in batches:
-        table = pa.concat_tables([held, pa.Table.from_batches([batch]).rename_columns(names).cast(plain)])
-        last = table.slice(table.num_rows - 1).select(["field_name", "item_a"]).to_pylist()[0]
-        # A key may go on in the next batch; what stands before it is complete.
-        same = pc.and_(pc.equal(table.column("item_a"), last["item_a"]), pc.equal(table.column("field_name"), last["field_name"]))
-        cut = table.num_rows - pc.sum(same).as_py()
-        yield from merged(table.slice(0, cut))
-        held = table.slice(cut)
-    yield from merged(held)
+        if not batch.num_rows:
+            continue
+        merged = pa.concat_tables([held, entries(batch)]).group_by(kinds.names[:-1], use_threads=False).aggregate([("n_ab", "sum")])
+        merged = merged.select([*kinds.names[:-1], "n_ab_sum"]).rename_columns(kinds.names)
+        last = batch.slice(batch.num_rows - 1).to_pylist()[0]
+        goes_on = pc.and_(pc.and_(pc.equal(merged.column("item_a"), last["item_a"]), pc.equal(merged.column("block"), last["block"])), pc.equal(merged.column("field_name"), last["field_name"]))
+        yield from merged.filter(pc.invert(goes_on)).drop_columns(["block"]).to_batches()
+        held = merged.filter(goes_on)
+    yield from held.drop_columns(["block"]).to_batches()
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -134,7 +141,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """
     items = rows.select("field_name", F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>")))).alias("items"))
     stripes = items.mapInArrow(_build, STRIPE)
-    return stripes.repartition("field_name", "item_a", "block").sortWithinPartitions("field_name", "item_a").mapInArrow(_fold, PAIR)
+    return stripes.repartition("field_name", "item_a", "block").sortWithinPartitions("field_name", "item_a", "block").mapInArrow(_fold, PAIR)
 
 
 def item_counts(rows: DataFrame) -> DataFrame:
@@ -155,14 +162,21 @@ def log_likelihood(n: Column, n_a: Column, n_b: Column, n_ab: Column) -> Column:
     return F.greatest(2 * (cells - sides + part(n)), F.lit(0.0))
 
 
-def with_expectation(pairs: DataFrame, counts: DataFrame, totals: dict[str, int]) -> DataFrame:
-    """Add n, n_a, n_b, ratio (rows with both to those expected by chance) and llr."""
-    a = counts.select("field_name", F.col("item").alias("item_a"), F.col("n").alias("n_a"))
-    b = counts.select("field_name", F.col("item").alias("item_b"), F.col("n").alias("n_b"))
+def with_expectation(pairs: DataFrame, counts: DataFrame, totals: dict[str, int], small: bool) -> DataFrame:
+    """Add n, n_a, n_b, ratio (rows with both to those expected by chance) and llr.
+
+    `small` counts are broadcast. Otherwise the pairs of items that stand in very many pairs get their
+    counts by broadcast and all others by shuffle.
+    """
     n = F.lit(0).cast("bigint")
     for field, total in totals.items():
         n = F.when(F.col("field_name") == field, F.lit(total).cast("bigint")).otherwise(n)
-    out = pairs.join(a, ["field_name", "item_a"]).join(b, ["field_name", "item_b"]).withColumn("n", n)
+    out = pairs
+    for side in ("a", "b"):
+        known = counts.select(F.struct("field_name", "item").alias("key"), F.col("n").alias(f"n_{side}"))
+        out = out.withColumn("key", F.struct("field_name", F.col(f"item_{side}").alias("item")))
+        out = (out.join(F.broadcast(known), "key") if small else lookup(materialize(out), known, "key", "inner")).drop("key")
+    out = out.withColumn("n", n)
     ratio = F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
     return out.withColumns({"ratio": ratio, "llr": log_likelihood(F.col("n"), F.col("n_a"), F.col("n_b"), F.col("n_ab"))})
 
@@ -173,8 +187,8 @@ def cooccurrence(rows: DataFrame, min_rows: int = 1, min_share: float = 0.0, mos
     n counts the rows of a field with any item. With `min_rows` or `min_share` only pairs in at least
     so many rows, or that share of n, come out; as no pair stands in more rows than its items, rarer
     items are left out before pairs are formed. With a share s there are at most (items per row) / s
-    such items; the list is broadcast if it has at most `most_items` entries and joined by shuffle
-    otherwise. Items repeated in a row count once; null items and empty rows don't count; repeated
+    such items. The list of items and their counts is broadcast if it has at most `most_items` entries;
+    otherwise items of very many rows or pairs are looked up by broadcast and the rest by shuffle. Items repeated in a row count once; null items and empty rows don't count; repeated
     rows count each.
     """
     totals = {r[0]: r[1] for r in rows.where(F.size(F.array_compact("items")) > 0).groupBy("field_name").agg(F.count("*")).collect()}  # one row a field
@@ -183,15 +197,18 @@ def cooccurrence(rows: DataFrame, min_rows: int = 1, min_share: float = 0.0, mos
     need = F.lit(min_rows).cast("double")
     for field, total in totals.items():
         need = F.when(F.col("field_name") == field, F.lit(max(float(min_rows), min_share * total))).otherwise(need)
+    counts = materialize(counts.where(F.col("n") >= need))
+    small = counts.count() <= most_items
     if min_rows > 1 or min_share > 0:
-        counts = materialize(counts.where(F.col("n") >= need))
-        if counts.count() <= most_items:
+        if small:
             kept = {f: pa.array(sorted(r[0] for r in counts.where(F.col("field_name") == f).select("item").collect()), pa.string()) for f in totals}
             rows = rows.mapInArrow(_keep(kept), "field_name string, items array<string>")
         else:
             flat = rows.withColumn("row", F.monotonically_increasing_id()).select("field_name", "row", F.explode_outer("items").alias("item"))
-            rows = flat.join(counts, ["field_name", "item"], "left_semi").groupBy("field_name", "row").agg(F.collect_list("item").alias("items")).drop("row")
-    return with_expectation(pair_counts(rows), counts, totals).where(F.col("n_ab") >= need)
+            flat = flat.where("item is not null").withColumn("key", F.struct("field_name", "item"))
+            flat = lookup(materialize(flat), counts.select(F.struct("field_name", "item").alias("key")), "key", "inner")
+            rows = flat.groupBy("field_name", "row").agg(F.collect_list("item").alias("items")).drop("row")
+    return with_expectation(pair_counts(rows), counts, totals, small).where(F.col("n_ab") >= need)
 
 
 def _keep(kept: dict[str, pa.Array]):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,23 +91,33 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Containers sorted by (term, chunk): those of one key are united."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-    out: list[tuple] = []
-    for (term, chunk), group in itertools.groupby(rows, key=lambda r: (r[0], r[1])):
-        held = list(group)
-        size, data = union([(r[2], r[3]) for r in held])
-        out.append((term, chunk, size, data, sum(r[4] for r in held)))
-        if len(out) == 5000:
-            yield _batch(out)
-            out = []
-    if out:
-        yield _batch(out)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["term", "chunk", "size", "container", "occurrences"])
+    """Containers sorted by (term, chunk): those of one key are united as they come; keys of one container pass as they are."""
+    kinds = pa.schema([("term", pa.string()), ("chunk", pa.int64()), ("size", pa.int32()), ("container", pa.binary()), ("occurrences", pa.int64())])
+
+    def one(rows: pa.Table) -> list:
+        size, data = union(list(zip(rows.column("size").to_pylist(), rows.column("container").to_pylist())))
+        return [rows.column("term")[0].as_py(), rows.column("chunk")[0].as_py(), size, data, pc.sum(rows.column("occurrences")).as_py()]
+
+    def table(rows: list[list]) -> pa.Table:
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], schema=kinds)
+
+    held = kinds.empty_table()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_tables([held, pa.Table.from_batches([batch]).rename_columns(kinds.names).cast(kinds)]).combine_chunks()
+        term = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
+        chunk = rows.column("chunk").to_numpy()
+        starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (chunk[1:] != chunk[:-1])])
+        sizes = np.diff(np.r_[starts, rows.num_rows])
+        # The last key may go on in the next batch; it is held as one container.
+        yield from rows.take(pa.array(starts[:-1][sizes[:-1] == 1])).to_batches()
+        several = [one(rows.slice(s, n)) for s, n in zip(starts[:-1], sizes[:-1]) if n > 1]
+        if several:
+            yield from table(several).to_batches()
+        last = rows.slice(starts[-1])
+        held = table([one(last)]) if last.num_rows > 1 else last
+    yield from held.to_batches()
 
 
 def term_bitmaps(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ Decoding joins the tokens' bytes by a table of offsets into one buffer.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
@@ -164,19 +165,24 @@ class Vocabulary:
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
-    """(path, pattern) of an installed public vocabulary."""
+    """(name, pattern) of an installed public vocabulary; `load` finds its file where it runs."""
     import public_tokenizers
 
-    return public_tokenizers.path(name), public_tokenizers.PATTERN
+    return name, public_tokenizers.PATTERN
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
 
 
 def load(path: str, pattern: str) -> Vocabulary:
-    """The vocabulary, read once per process."""
+    """The vocabulary, read once per process; `path` is a file or the name of a public vocabulary installed on this machine."""
     if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Vocabulary(path, pattern)
+        file = path
+        if not os.path.exists(file):
+            import public_tokenizers
+
+            file = public_tokenizers.path(path)
+        _loaded[path, pattern] = Vocabulary(file, pattern)
     return _loaded[path, pattern]
 
 
