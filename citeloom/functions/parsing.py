@@ -10,16 +10,18 @@ from citeloom.functions.text import strip
 STRING = r"""(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')"""
 LITERAL = rf"(?s)^\[\s*+(?:{STRING}(?:\s*+,\s*+{STRING})*+\s*+,?\s*+)?\]$"
 
-# Keywords that carry no topic, and words that carry none in running text.
+# Keywords that carry no topic, words that carry none in running text, words that mark a
+# conference, and the patterns (with the group to take) of DOIs in running text.
 KEYWORD_STOPS = (
     "review", "studies", "study", "analysis", "method", "methods", "approach", "approaches", "framework", "model", "system", "based", "using", "via",
     "case study", "research", "development",
 )
-TEXT_STOPS = tuple(
-    "the and for with that this these those from have has had were was are is be been being by in on at to of a an as or but not it its they them their "
-    "we our you your he she his her my mine us ours".split()
+TEXT_STOPS = (
+    "the", "and", "for", "with", "that", "this", "these", "those", "from", "have", "has", "had", "were", "was", "are", "is", "be", "been", "being", "by", "in", "on", "at",
+    "to", "of", "a", "an", "as", "or", "but", "not", "it", "its", "they", "them", "their", "we", "our", "you", "your", "he", "she", "his", "her", "my", "mine", "us", "ours",
 )
 CONFERENCE_WORDS = ("CONFERENCE", "PROCEEDINGS", "SYMPOSIUM", "MEETING", "CONGRESS", "WORKSHOP", "PROC.", "CONF.", "SYMP.")
+DOI_PATTERNS = ((r"(?i)DOI\s+([^\s;,\]]+)", 1), (r"(?i)doi:\s*([^\s;,\]]+)", 1), (r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+", 0))
 
 
 def empty() -> Column:
@@ -89,8 +91,13 @@ def categories_list(c: Column) -> Column:
 
 
 def refs_of_literal(c: Column) -> Column:
-    """OP-25, OP-27: distinct items of a literal list, none for anything else."""
-    return F.array_distinct(F.coalesce(literal_items(c), empty()))
+    """OP-25: distinct items of a literal list, none for anything else."""
+    return F.array_distinct(refs_with_repeats(c))
+
+
+def refs_with_repeats(c: Column) -> Column:
+    """OP-27: items of a literal list as they stand, none for anything else."""
+    return F.coalesce(literal_items(c), empty())
 
 
 def refs_lenient(c: Column) -> Column:
@@ -101,7 +108,7 @@ def refs_lenient(c: Column) -> Column:
 
 def dois_of_text(c: Column) -> Column:
     """OP-15: distinct DOIs of free reference text, sorted, case kept; three patterns, so one DOI may come out whole and cut."""
-    hits = F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(g)) for p, g in ((r"(?i)DOI\s+([^\s;,\]]+)", 1), (r"(?i)doi:\s*([^\s;,\]]+)", 1), (r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+", 0))))
+    hits = F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(g)) for p, g in DOI_PATTERNS))
     clean = F.transform(hits, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\[++", ""), r"[,;\]]++$", ""))
     return F.coalesce(F.array_sort(F.array_distinct(F.filter(clean, lambda x: x.startswith("10.") & (F.length(x) > 10)))), empty())
 

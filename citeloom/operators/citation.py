@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.skew import heavy_keys, lookup, spread_join
 from citeloom.session import materialize
 
 
@@ -31,18 +32,20 @@ def d_index(background: DataFrame, target: DataFrame) -> DataFrame:
     its citers: nj citers that cite R, ni the others, nk papers citing R that aren't in C (itself among
     them), d = (ni - nj) / (ni + nj + nk), 0 if nothing counts.
 
-    The graph is written once, as three branches read it. One large join (references of the targets with all citations of them) and one aggregation on
+    The graph is written once, as three branches read it. One large join (references of the targets with
+    all citations of them), in which the pairs of a hub are formed in many parts, and one aggregation on
     (paper, citer); distinct pairs are combined before the shuffle, and a hub's citers are spread over
-    the pairs' hash. AQE splits a hub in the join.
+    the pairs' hash.
     """
     focal = target.where("id is not null").select("id").distinct()
     cites = background.where("id is not null").select("id", "row_no", F.explode("refs").alias("dst"))
     newest = background.where("id is not null").groupBy("id").agg(F.max("row_no").alias("newest"))
     graph = materialize(cites.join(newest, "id").groupBy(F.col("id").alias("src"), "dst").agg(F.max(F.col("row_no") == F.col("newest")).alias("own")))
     refs = graph.where("own").join(focal, graph["src"] == focal["id"], "left_semi").select(F.col("src").alias("f"), "dst")
+    heavy = heavy_keys(graph, "dst")
     # Citers of the references, with whether it is a current reference of the citer.
-    around = refs.join(graph, "dst").select("f", F.col("src").alias("c"), F.lit(False).alias("citer"), F.lit(True).alias("near"), "own")
-    citers = graph.join(focal, graph["dst"] == focal["id"]).select(F.col("id").alias("f"), F.col("src").alias("c"), F.lit(True).alias("citer"), F.lit(False).alias("near"), F.lit(False).alias("own"))
+    around = spread_join(refs, graph, "dst", heavy).select("f", F.col("src").alias("c"), F.lit(False).alias("citer"), F.lit(True).alias("near"), "own")
+    citers = lookup(graph, focal.select(F.col("id").alias("dst")), "dst", "inner", heavy).select(F.col("dst").alias("f"), F.col("src").alias("c"), F.lit(True).alias("citer"), F.lit(False).alias("near"), F.lit(False).alias("own"))
     pairs = around.unionByName(citers).groupBy("f", "c").agg(F.max("citer").alias("citer"), F.max("near").alias("near"), F.max("own").alias("own"))
     n = lambda cond: F.count(F.when(cond, 1))
     counts = pairs.groupBy("f").agg(n(F.col("citer") & ~F.col("own")).alias("ni"), n(F.col("citer") & F.col("own")).alias("nj"), n(F.col("near") & ~F.col("citer")).alias("nk"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions.parsing import percent
 from citeloom.session import materialize
 
 #: A wide matrix with more columns is refused; its cells in long form have no bound.
@@ -72,6 +73,13 @@ def td_from_similarity(z: Column) -> Column:
     return F.coalesce(F.when(z > 0, 1 / z), F.lit(1.0))
 
 
+def periodical_td(rows: DataFrame) -> DataFrame:
+    """OP-60: (periodical, td_mean, td_std, percent_mean, percent_std, n_papers) of rows (periodical, td), sample deviations; percents are each paper's, to one place (OP-33)."""
+    rows = rows.where("periodical is not null").withColumn("percent", F.round(percent(F.col("td"), 5), 1))
+    spread = [f(c).alias(f"{c if c == 'percent' else 'td'}_{name}") for c in ("td", "percent") for f, name in ((F.avg, "mean"), (F.stddev_samp, "std"))]
+    return rows.groupBy("periodical").agg(*spread, F.count("*").alias("n_papers"))
+
+
 def names_of(similarity: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
     """All categories of the similarity table in order; more than `most` raise."""
     names = [r[0] for r in similarity.select("i").distinct().limit(most + 1).collect()]

@@ -40,7 +40,7 @@ class Cleaning:
     drop_conference: bool = True
     min_year: int | None = None
     target_periodicals: Sequence[str] = field(default_factory=tuple)
-    top_n: int = 5
+    top_n: int = 10
 
     @classmethod
     def from_config(cls, config: Mapping) -> "Cleaning":
@@ -49,7 +49,7 @@ class Cleaning:
         if missing:
             raise ValueError(f"missing sections: {missing}")
         c = config["cleaning"] or {}
-        return cls(bool(c.get("drop_conference", True)), c.get("min_year") or None, tuple(c.get("target_periodicals") or ()), int(c.get("top_n") or 5))
+        return cls(bool(c.get("drop_conference", True)), c.get("min_year") or None, tuple(c.get("target_periodicals") or ()), int(c.get("top_n") or 10))
 
 
 def with_references(df: DataFrame, text: str, out: str = "refs") -> DataFrame:

@@ -32,9 +32,13 @@ def reference_year(target: DataFrame, default: int) -> int:
 
 
 def papers_by_doi(papers: DataFrame) -> DataFrame:
-    """(id, keywords, year, periodical): per DOI the last row's keywords, the first row's year and periodical."""
-    rows = papers.where("id is not null")
-    return rows.groupBy("id").agg(F.max_by("keywords", "row_no").alias("keywords"), F.min_by("year", "row_no").alias("year"), F.min_by("periodical", "row_no").alias("periodical"))
+    """(id, keywords, year, periodical) of rows (row, id, keywords, year, periodical, row_no): per DOI the last row's keywords, the first row's year and periodical.
+
+    OP-32: a row without a DOI is a paper of its own, `paper_` and its row; its year and periodical, which are looked up by DOI, stay null.
+    """
+    known = papers.where("id is not null").groupBy("id").agg(F.max_by("keywords", "row_no").alias("keywords"), F.min_by("year", "row_no").alias("year"), F.min_by("periodical", "row_no").alias("periodical"))
+    alone = papers.where("id is null").select(F.concat(F.lit("paper_"), F.col("row").cast("string")).alias("id"), "keywords")
+    return known.unionByName(alone, allowMissingColumns=True)
 
 
 def paper_novelty(target: DataFrame, first_years: DataFrame, reference_year: int, within: int = 1, absolute: bool = False) -> DataFrame:
@@ -59,18 +63,31 @@ def periodical_novelty(rows: DataFrame, unknown: bool) -> DataFrame:
     return kept.groupBy("periodical").agg(F.avg("novelty").alias("novelty_mean"), F.count("*").alias("n_papers"), F.stddev_pop("novelty").alias("novelty_std"))
 
 
-def drill_down(target: DataFrame, first_years: DataFrame, row: int, reference_year: int, within: int = 1) -> DataFrame:
-    """OP-77: (k1, k2, first_year, novel) of one row's pairs; here a pair the background never had is not novel."""
-    pairs = target.where(F.col("row") == row).select(F.explode_outer(pairs_of(F.col("keywords"))).alias("p")).where("p is not null").select("p.k1", "p.k2")
+def drill_down(target: DataFrame, first_years: DataFrame, row: int | None, reference_year: int, within: int = 1) -> DataFrame:
+    """OP-77: (row, k1, k2, first_year, novel) of the pairs of one row, or of every row; here a pair the background never had is not novel."""
+    rows = target if row is None else target.where(F.col("row") == row)
+    pairs = rows.select("row", F.explode_outer(pairs_of(F.col("keywords"))).alias("p")).where("p is not null").select("row", "p.k1", "p.k2")
     novel = F.coalesce(F.abs(F.lit(reference_year) - F.col("first_year")) <= within, F.lit(False))
-    return pairs.join(first_years, ["k1", "k2"], "left").withColumn("novel", novel)
+    return pairs.join(first_years, ["k1", "k2"], "left").select("row", "k1", "k2", "first_year", novel.alias("novel"))
+
 
+def timeline_report(first_years: DataFrame, n: int = 5, since: int | None = None) -> DataFrame:
+    """OP-76: the n earliest pairs, or the n earliest of those first seen in `since` or later; ties by the pair."""
+    rows = first_years if since is None else first_years.where(F.col("first_year") >= since)
+    return rows.orderBy("first_year", "k1", "k2").limit(n)
 
-def corpus_stats(papers: DataFrame) -> DataFrame:
-    """OP-74: one row: papers, papers with keywords, keywords, distinct keywords, papers without a year."""
-    counts = papers.agg(
-        F.count("*").alias("n_papers"), F.count(F.when(F.size("keywords") > 0, 1)).alias("n_with_keywords"), F.coalesce(F.sum(F.size("keywords")), F.lit(0)).cast("bigint").alias("n_keywords"),
-        F.count(F.when(F.col("year").isNull(), 1)).alias("n_without_year"),
-    )
+
+def corpus_stats(papers: DataFrame, first_years: DataFrame) -> DataFrame:
+    """OP-74: one row of rows (keywords, year, dois) and their timeline.
+
+    Papers, those with keywords, keywords and distinct ones, papers without a year, those of them that
+    have pairs, distinct dated pairs, and DOIs found in reference texts.
+    """
+    size = F.size("keywords")
+    n = lambda condition, name: F.count(F.when(condition, 1)).alias(name)
+    total = lambda c, name: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("bigint").alias(name)
+    undated = F.col("year").isNull()
+    counts = papers.agg(F.count("*").alias("n_papers"), n(size > 0, "n_with_keywords"), total("keywords", "n_keywords"), n(undated, "n_without_year"), n(undated & (size > 1), "n_skipped"), total("dois", "n_dois"))
     distinct = papers.select(F.explode_outer("keywords").alias("k")).where("k is not null").distinct().agg(F.count("*").alias("n_distinct"))
-    return counts.join(F.broadcast(distinct))  # one row each
+    pairs = first_years.agg(F.count("*").alias("n_pairs"))
+    return counts.join(F.broadcast(distinct)).join(F.broadcast(pairs))  # one row each

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.citations import with_cited_keys
 from citeloom.functions.text import doi_key, pick
+from citeloom.operators.skew import attach, heavy_keys
 from citeloom.session import materialize
 
-#: At most this many keys are treated as heavy, whatever the data: a heavy key has more than 1/HEAVY_KEYS of all references.
+#: A heavy key has more than one part in so many of all references, or in twice as many as there are shuffle partitions.
 HEAVY_KEYS = 1000
+#: (key, month) pairs that a task holds before it hands their counts on.
+HELD = 1_000_000
 
 
 def _status(papers: DataFrame, earlier: DataFrame, withdrawn: DataFrame) -> DataFrame:
@@ -24,14 +30,21 @@ def _status(papers: DataFrame, earlier: DataFrame, withdrawn: DataFrame) -> Data
     return rows.where("key is not null").groupBy("key").agg(F.min("first_loaded").alias("first_loaded"), F.max("earlier").alias("earlier"), F.max("withdrawn").alias("withdrawn"))
 
 
-def _state(refs: DataFrame) -> DataFrame:
-    known = F.coalesce("earlier", F.lit(False)) | F.col("first_loaded").isNotNull()
-    state = (
+def _earlier() -> Column:
+    return F.coalesce("earlier", F.lit(False))
+
+
+def _state_of() -> Column:
+    known = _earlier() | F.col("first_loaded").isNotNull()
+    return (
         F.when(F.coalesce("withdrawn", F.lit(False)), "withdrawn")
         .when(~known, "missing")
-        .when(~F.coalesce("earlier", F.lit(False)) & (F.col("first_loaded") > F.col("at")), "late")
+        .when(~_earlier() & (F.col("first_loaded") > F.col("at")), "late")
     )
-    return refs.withColumn("state", state).where("state is not null").select("table_name", "id", "at", F.col("key").alias("cited_doi"), "state")
+
+
+def _state(refs: DataFrame) -> DataFrame:
+    return refs.withColumn("state", _state_of()).where("state is not null").select("table_name", "id", "at", F.col("key").alias("cited_doi"), "state")
 
 
 def orphan_references(papers: DataFrame, earlier: DataFrame, withdrawn: DataFrame, *, table_name: str = "data_with_citing", id_column: str = "record_id", doi_column: str = "DOI", refs_column: str = "citing", time_column: str = "loaded_at") -> DataFrame:
@@ -51,19 +64,66 @@ def orphan_references(papers: DataFrame, earlier: DataFrame, withdrawn: DataFram
     is never late. Null, empty and unreadable reference fields give no row. Repeated rows come out
     as often as they stand. Empty tables are allowed. Other columns aren't read.
     """
+    refs, status = _references(papers, earlier, withdrawn, id_column, doi_column, refs_column, time_column)
+    refs = materialize(refs.withColumn("table_name", F.lit(table_name)))  # read twice below; splitting the fields is the dearest step
+    heavy = heavy_keys(refs, least=HEAVY_KEYS)
+    heavy_status = F.broadcast(F.broadcast(heavy).join(status, "key", "left"))
+    light = refs.join(F.broadcast(heavy), "key", "left_anti").join(status, "key", "left")
+    return _state(refs.join(heavy_status, "key")).unionByName(_state(light))
+
+
+def _references(papers, earlier, withdrawn, id_column, doi_column, refs_column, time_column) -> tuple[DataFrame, DataFrame]:
+    """(id, at, key) of all references, and what is known of each key."""
     source = pick(papers, {"id": id_column, "doi": doi_column, "refs": refs_column, "at": time_column})
     status = _status(source.select("doi", "at"), pick(earlier, {"doi": doi_column}), pick(withdrawn, {"doi": doi_column}))
-    refs = with_cited_keys(source.select("id", "refs", "at"), "refs", "keys").select(F.lit(table_name).alias("table_name"), "id", "at", F.explode_outer("keys").alias("key")).where("key is not null")
-    refs = materialize(refs)  # read twice below; splitting the fields is the dearest step
+    refs = with_cited_keys(source.select("id", "refs", "at"), "refs", "keys").select("id", "at", F.explode_outer("keys").alias("key")).where("key is not null")
+    return refs, status
 
-    per_period = refs.groupBy("key", F.trunc("at", "month").alias("period")).agg(F.count("*").alias("n"))
-    per_key = per_period.groupBy("key").agg(F.sum("n").alias("n"))
-    total = refs.count()
-    heavy = materialize(per_key.where(F.col("n") > total / HEAVY_KEYS).select("key"))
 
-    heavy_status = F.broadcast(heavy.join(status, "key", "left"))
-    light = refs.join(F.broadcast(heavy), "key", "left_anti").join(status, "key", "left")
-    return _state(refs.join(heavy_status, "key")).unionByName(_state(light))
+def _per_period(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, period) to the task's counts of them."""
+    names = ["key", "period", "n"]
+    held: list[pa.Table] = []
+
+    def counted() -> pa.Table:
+        both = pa.concat_tables(held).group_by(names[:2], use_threads=False).aggregate([("n", "sum")])
+        return both.select(["key", "period", "n_sum"]).rename_columns(names)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).group_by(names[:2], use_threads=False).aggregate([([], "count_all")])
+        held.append(table.select(["key", "period", "count_all"]).rename_columns(names))
+        if sum(t.num_rows for t in held) > HELD:
+            held = [counted()]
+            if held[0].num_rows > HELD // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from counted().to_batches()
+
+
+def orphan_period_counts(papers: DataFrame, earlier: DataFrame, withdrawn: DataFrame, *, table_name: str = "data_with_citing", id_column: str = "record_id", doi_column: str = "DOI", refs_column: str = "citing", time_column: str = "loaded_at") -> DataFrame:
+    """(table_name, period, state, n_refs): as `orphan_counts` of `orphan_references`, without forming its rows.
+
+    References are counted per key and month in each task, before any shuffle. The counts of heavy keys
+    meet what is known of them in a broadcast, all others are shuffled to it, and both orphan counts are
+    united. A month before that of a key's first load is late as a whole; only references of that very
+    month are looked at one by one.
+    """
+    refs, status = _references(papers, earlier, withdrawn, id_column, doi_column, refs_column, time_column)
+    refs, status = materialize(refs.select("key", "at", F.trunc("at", "month").alias("period"))), materialize(status)
+    groups = materialize(refs.select("key", "period").mapInArrow(_per_period, "key string, period date, n bigint"))
+    heavy = F.broadcast(heavy_keys(groups, least=HEAVY_KEYS, weight="n"))
+    met = groups.join(heavy, "key", "left_semi").join(F.broadcast(status.join(heavy, "key", "left_semi")), "key", "left")
+    met = met.unionByName(groups.join(heavy, "key", "left_anti").join(status, "key", "left"))
+
+    # A month's counts have the state of its first day; the month of the first load is taken apart.
+    first = F.trunc("first_loaded", "month")
+    here = F.coalesce(~_earlier() & ~F.coalesce("withdrawn", F.lit(False)) & (F.col("period") == first), F.lit(False))
+    whole = met.withColumns({"at": F.when(~here, F.col("period").cast("timestamp")), "first_loaded": F.when(F.col("first_loaded").isNotNull(), first.cast("timestamp"))})
+    counts = whole.withColumn("state", _state_of()).where("state is not null").groupBy("period", "state").agg(F.sum("n").alias("n_refs"))
+    split = attach(refs, met.where(here).select("key", "first_loaded").distinct(), "key", "inner").where((F.col("period") == first) & (F.col("first_loaded") > F.col("at")))
+    late = split.groupBy("period").agg(F.count("*").alias("n_refs")).withColumn("state", F.lit("late"))
+    both = counts.unionByName(late).groupBy("period", "state").agg(F.sum("n_refs").alias("n_refs"))
+    return both.select(F.lit(table_name).alias("table_name"), F.date_format("period", "yyyy-MM").alias("period"), "state", "n_refs")
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

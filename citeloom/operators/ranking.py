@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.skew import attach
+from citeloom.session import materialize
+
 
 def ranked(df: DataFrame, score: str, name: str = "periodical") -> DataFrame:
-    """Add rank 1..n by falling score, ties by name. For result tables of one row per periodical: it sorts all rows in one task."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc_nulls_last(score), name)))
+    """Add rank 1..n by falling score, ties by name.
+
+    The rows are cut into ranges of the order; each is numbered by itself and moved on by the rows of
+    the ranges before it, so that no task gets all rows. The driver holds a number per range.
+    """
+    order = (F.desc_nulls_last(score), F.asc(name))
+    parts = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = sorted(map(tuple, parts.groupBy("__part").agg(F.count("*")).collect()))
+    before = dict(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    offset = F.element_at(F.create_map(*(F.lit(x) for p in before.items() for x in p)), F.col("__part")) if before else F.lit(0)
+    return parts.withColumn("rank", (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + offset).cast("int")).drop("__part")
 
 
 def head(df: DataFrame, score: str, n: int, name: str = "periodical") -> DataFrame:
@@ -24,9 +38,11 @@ def top_periodicals(papers: DataFrame, n: int) -> DataFrame:
 
 def of_periodicals(papers: DataFrame, periodicals: DataFrame, null_matches: bool = False) -> DataFrame:
     """OP-18, OP-37: rows whose periodical is among `periodicals` (periodical); null only matches null if asked."""
-    names = periodicals.select(F.col("periodical").alias("j")).distinct()
-    on = F.col("periodical").eqNullSafe(F.col("j")) if null_matches else F.col("periodical") == F.col("j")
-    return papers.join(names, on, "left_semi")
+    key = F.struct("periodical")  # equal also where both are null
+    names = periodicals.select(key.alias("__key")).distinct()
+    if not null_matches:
+        names = names.where("__key.periodical is not null")
+    return attach(papers.withColumn("__key", key), names, "__key", "inner").drop("__key")
 
 
 def from_year(papers: DataFrame, least: int | None) -> DataFrame:

@@ -26,10 +26,11 @@ def most_heavy(spark: SparkSession, least: int | None = None) -> int:
     return max(HEAVY_KEYS if least is None else least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def heavy_keys(rows: DataFrame, key: str = "key", least: int | None = None, n_rows: int | None = None) -> DataFrame:
-    """(key): exactly the non-null keys with more than their part of all rows, from counts combined before the shuffle."""
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    n_rows = rows.count() if n_rows is None else n_rows
+def heavy_keys(rows: DataFrame, key: str = "key", least: int | None = None, weight: str | None = None) -> DataFrame:
+    """(key): exactly the non-null keys with more than their part of all rows, or of all `weight`, from counts combined before the shuffle."""
+    size = F.count("*") if weight is None else F.sum(weight)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(size.alias("n"))
+    n_rows = rows.agg(size).first()[0] or 0
     return materialize(counts.where(F.col("n") > max(n_rows / most_heavy(rows.sparkSession, least), 1)).select(key))
 
 
@@ -48,6 +49,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", heavy
     return out if how == "inner" else out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
+#: A table of so many rows, one per key, is broadcast whole.
+SMALL = 1_000_000
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """As `lookup`; a table of at most SMALL rows is broadcast whole, so that nothing is shuffled."""
+    table = materialize(table)
+    return rows.join(F.broadcast(table), key, how) if table.count() <= SMALL else lookup(rows, table, key, how)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None = None) -> DataFrame:
     """Inner join of two sides that may both hold many rows of one key.
 

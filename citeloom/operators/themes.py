@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.parsing import TEXT_STOPS, clean_text
+from citeloom.operators.skew import attach
 
 
 def periodical_keywords(papers: DataFrame, min_papers: int = 5) -> DataFrame:
@@ -16,7 +17,7 @@ def periodical_keywords(papers: DataFrame, min_papers: int = 5) -> DataFrame:
     sizes = papers.where("periodical is not null").groupBy("periodical").agg(F.count("*").alias("n_papers")).where(F.col("n_papers") >= min_papers)
     words = papers.where("periodical is not null").select("periodical", "row_no", F.posexplode_outer("keywords").alias("pos", "keyword")).where("keyword is not null")
     counts = words.groupBy("periodical", "keyword").agg(F.count("*").alias("n"), F.min(F.struct("row_no", "pos")).alias("first_seen"))
-    return counts.join(sizes, "periodical", "left_semi")
+    return attach(counts, sizes.select("periodical"), "periodical", "inner")
 
 
 def top_keywords(counts: DataFrame, k: int = 5) -> DataFrame:

@@ -54,6 +54,7 @@ def keywords_theme(bad: str) -> str:
 C = strip("typed_categories")
 CATEGORIES = f"""case when typed_categories is null then {NONE} when {is_list(C)} then {items(C)} when starts_with({C}, '[') and ends_with({C}, ']') then {NONE}
  when contains({C}, ';') then {parts(C, ';', False)} when contains({C}, '|') then {parts(C, '[|]', False)} when contains({C}, '/') then {parts(C, '/', False)} else [{C}] end"""
+REFS_IN = f"case when {is_list('citing')} then {items('citing')} else {NONE} end"
 REFS = f"case when {is_list('citing')} then list_distinct({items('citing')}) else {NONE} end"
 REFS_LENIENT = f"""case when citing is null or citing in ('', '[]') then {NONE} when {is_list('citing')} then {items('citing')}
  else {parts("replace(replace(trim(citing, '[]'), '''', ''), '\"', '')", ',', False)} end"""
@@ -61,14 +62,14 @@ DOIS = rf"""coalesce(list_sort(list_distinct([d for d in [rtrim(ltrim(h, '['), '
  regexp_extract_all(citations, '(?i)10\.\d{{4,9}}/[-._;()/:A-Z0-9]+'))] if starts_with(d, '10.') and length(d) > 10])), {NONE})"""
 BARE = lambda x: rf"regexp_replace({strip(x)}, '^(https?://doi\.org/|doi:)', '')"
 
-_COLUMNS = '"DOI" doi, "Source Title" title, "Publication Year" typed_year, "Keywords" typed_keywords, "WoS Categories" typed_categories, citing, citations, "Article Title" "name"'
-ROWS = rf"""raw as (select {_COLUMNS}, row_no, true is_target from target_data union all by name select {_COLUMNS}, record_id + 1000000 row_no, false is_target from data_with_citing),
- bg as (select *, row_no "row", case when doi not in ('', 'nan') then doi end id, case when title not in ('', 'nan') then title end periodical,
+_COLUMNS = '"DOI" doi, "Source Title" title, "Publication Year" typed_year, "Keywords" typed_keywords, "WoS Categories" typed_categories, citing, citations, "Article Title" "name", "Abstract" abstract'
+ROWS = rf"""raw as (select {_COLUMNS}, row_no nth, true is_target from target_data union all by name select {_COLUMNS}, record_id nth, false is_target from data_with_citing),
+ bg as (select *, 2 * nth + (not is_target)::integer "row", row_number() over (order by not is_target, nth) row_no, case when doi not in ('', 'nan') then doi end id, case when title not in ('', 'nan') then title end periodical,
  case when regexp_full_match({strip('typed_year')}, '[0-9]{{1,9}}(\.[0-9]*)?') then try_cast(regexp_extract({strip('typed_year')}, '^[0-9]+') as integer) end "year" from raw)"""
 
 
 def q(*ctes: str, select: str) -> str:
-    return "with " + ",\n ".join((ROWS, *ctes)) + "\n" + select
+    return "with recursive " + ",\n ".join((ROWS, *ctes)) + "\n" + select
 
 
 def parsed(expression: str) -> str:
@@ -97,7 +98,7 @@ ENHANCED = PERIODICAL_ROWS + """,
 
 
 def pairs(source: str, keep: str) -> str:
-    return f"select {keep}, least(k[i], k[j]) k1, greatest(k[i], k[j]) k2 from {source}, range(1, 40) a(i), range(2, 41) b(j) where i < j and j <= len(k)"
+    return f"select {keep}, least(k[i], k[j]) k1, greatest(k[i], k[j]) k2 from {source}, unnest(range(1, len(k) + 1)) a(i), unnest(range(i + 1, len(k) + 1)) b(j)"
 
 
 TIMELINE_H = f"kw as (select \"row\", periodical, \"year\", is_target, {KEYWORDS_H} k from bg), tl as (select k1, k2, min(y) first_year from ({pairs('kw', '\"year\" y')}) where y is not null group by 1, 2)"
@@ -109,21 +110,21 @@ NOVELTY_H = REF_H + f""",
 
 def by_doi(name: str, where: str) -> str:
     return f"""{name} as (select id, arg_max(k, row_no) k, (array_agg("year" order by row_no))[1] y, (array_agg(periodical order by row_no))[1] periodical
- from (select *, {KEYWORDS_I} k from bg where id is not null{where}) group by id)"""
+ from (select *, {KEYWORDS_I} k from bg where id is not null{where}) group by id union all select 'paper_' || "row", {KEYWORDS_I}, null, null from bg where id is null{where})"""
 
 
 NOVELTY_I = by_doi("every", "") + ", " + by_doi("mine", " and is_target") + f""",
  tl as (select k1, k2, min(y) first_year from ({pairs('every', 'y')}) where y is not null group by 1, 2),
- ref as (select max(y) y from mine),
+ ref as (select max("year") y from bg where is_target),
  met as (select p.*, tl.first_year is null or abs(ref.y - tl.first_year) <= 1 novel from ({pairs('mine', 'id, periodical')}) p left join tl using (k1, k2), ref),
  nov as (select id, any_value(periodical) periodical, count(*) n_pairs, count(*) filter (where novel) n_novel, count(*) filter (where novel)::double / count(*) nv from met group by id)"""
 
-CATS = f"""cr as (select "row", periodical, id, row_no, is_target, {CATEGORIES} cs, {REFS} refs from bg),
+CATS = f"""cr as (select "row", periodical, id, row_no, is_target, {CATEGORIES} cs, {REFS_IN} refs from bg),
  pc as (select id, arg_max(cs, row_no) cs from cr where id is not null and len(cs) > 0 group by id)"""
 
 
 def counts(source: str, least: int) -> str:
-    return f"""cc as (select i, j, count(*) n from (select s.cs[a] i, s.cs[b] j from {source} s, range(1, 60) x(a), range(1, 60) y(b) where a <= len(s.cs) and b <= len(s.cs) and len(s.cs) >= {least}) group by 1, 2)"""
+    return f"""cc as (select i, j, count(*) n from (select s.cs[a] i, s.cs[b] j from (select cs from {source} where len(cs) >= {least}) s, unnest(range(1, len(s.cs) + 1)) x(a), unnest(range(1, len(s.cs) + 1)) y(b)) group by 1, 2)"""
 
 
 SALTON = """norm as (select i, sqrt(sum(n * n)::double) v from cc group by i),
@@ -139,13 +140,24 @@ KU = f"""kc as (select bare id, arg_max(trim(typed_categories), row_no) c from (
  sets as (select "row", list(c) cs from found group by 1), """ + counts("sets", 1)
 TD_KU = KU + ", " + SALTON + ", " + Z + """, td as (select kr."row", periodical, case when z > 0 then 1 / z else 1.0::double end td from kr left join z using ("row"))"""
 
-WORDS = f"""fr as (select "row", unnest(list_distinct({KEYWORDS_TOPIC})) keyword from bg), dict as (select distinct field, lower(term) term from field_terms),
- fm as (select distinct keyword, field from fr join dict on lower(trim(keyword)) = term)"""
+# The ratio of matching blocks: the longest common block (the first in the keyword, then in the term), then
+# the same to its left and right. A block is coded as its length times a million less its place.
+_BLOCK = "list_max(flatten([[k * 1000000 - i for k in range(1, length(a) - i + 2) if contains(b, substr(a, i, k))] for i in range(1, length(a) + 1)]))"
+EXACT = f"""fr as (select "row", unnest(list_distinct({KEYWORDS_TOPIC})) keyword from bg), dict as (select distinct field, lower(term) term from field_terms),
+ ex as (select distinct keyword, field from fr join dict on lower(trim(keyword)) = term)"""
+WORDS = f"""{EXACT}, rest as (select distinct keyword, lower(trim(keyword)) a from fr where keyword is not null and keyword not in (select keyword from ex)),
+ la as (select a, c, count(*) n from (select distinct a, a s from rest) x, unnest(string_split(s, '')) y(c) group by 1, 2), lb as (select b, c, count(*) n from (select distinct term b, term s from dict) x, unnest(string_split(s, '')) y(c) group by 1, 2),
+ near as (select a, b from la join lb using (c) group by a, b having 2 * sum(least(la.n, lb.n)) >= 0.75 * (length(a) + length(b))),
+ blocks as (select a a0, b b0, a, b, 0 n from near union all
+  select a0, b0, u.a, u.b, u.n from (select a0, b0, unnest([struct_pack(a := substr(a, 1, i - 1), b := substr(b, 1, j - 1), n := k), struct_pack(a := substr(a, i + k), b := substr(b, j + k), n := 0)]) u
+   from (select *, instr(b, substr(a, i, k)) j from (select *, k * 1000000 - x i from (select *, ((x + 999999) // 1000000) k from (select *, {_BLOCK} x from blocks where a <> '' and b <> '') where x is not null))))),
+ alike as (select a0, b0 from blocks group by a0, b0 having 2.0 * sum(n) / (length(a0) + length(b0)) >= 0.75),
+ fm as (select keyword, field from ex union select keyword, field from rest join alike on a = a0 join dict on term = b0)"""
 SHARES = WORDS + """, fc as (select "row", field, count(*) n from fr join fm using (keyword) group by 1, 2), fs as (select *, n::double / sum(n) over (partition by "row") share from fc),
  ent as (select "row", count(*) n_fields, abs(-sum(share * log2(share))) e from fs group by "row")"""
 THEMES = f"""th as (select periodical, row_no, {keywords_theme(NONE)} k from bg where periodical is not null),
- tw as (select periodical, row_no, i pos, k[i] keyword from th, range(1, 40) a(i) where i <= len(k)),
- tc as (select periodical, keyword, count(*) n, min(row_no * 1000 + pos) f from tw where periodical in (select periodical from bg group by periodical having count(*) >= 5) group by 1, 2),
+ tw as (select periodical, row_no, i pos, k[i] keyword from th, unnest(range(1, len(k) + 1)) a(i)),
+ tc as (select periodical, keyword, count(*) n, min(struct_pack(r := row_no, p := pos)) f from tw where periodical in (select periodical from bg group by periodical having count(*) >= 5) group by 1, 2),
  tt as (select *, row_number() over (partition by periodical order by n desc, f) place from tc qualify place <= 5)"""
 CLEAN = r"""case when text is null then '' else trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'http[^\s\p{Z}]+|www[^\s\p{Z}]+', '', 'g'), '\p{Nd}+', '', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) end"""
 TEXT_STOPS_SQL = "(" + ", ".join(map(lit, TEXT_STOPS)) + ")"
@@ -159,6 +171,7 @@ REFERENCE = {
     "keywords_parse_notebook": parsed(keywords_theme(f"[lower({strip(K)})]")),
     "categories_parse": parsed(CATEGORIES),
     "refs_parse": parsed(f"list_sort({REFS})"),
+    "refs_parse_repeats": parsed(REFS_IN),
     "refs_parse_lenient": parsed(REFS_LENIENT),
     "doi_extract": parsed(DOIS),
     "doi_normalise": q(select=f'select "row", {BARE("id")} doi from bg where id is not null'),
@@ -168,7 +181,12 @@ REFERENCE = {
     "doc_top_terms": f"""with c as (select doc_id, string_split({CLEAN}, ' ') w from documents), x as (select doc_id, unnest(w) word, generate_subscripts(w, 1) pos from c),
  n as (select doc_id, word, count(*) n, min(pos) f from x where length(word) >= 3 and regexp_full_match(word, '\\p{{L}}+') and word not in {TEXT_STOPS_SQL} group by 1, 2)
  select doc_id, row_number() over (partition by doc_id order by n desc, f)::integer place, word, n from n qualify place <= 15""",
-    "term_source_both": q(select=f'select "row", unnest(list_distinct(list_concat({KEYWORDS_TOPIC}, {KEYWORDS_TOPIC.replace(K, chr(34) + "name" + chr(34))}))) term from bg'),
+    "term_source_both": q(
+        f"""tt as (select "row", string_split({CLEAN.replace("text", "abstract")}, ' ') w from bg where abstract is not null), tx as (select "row", unnest(w) word, generate_subscripts(w, 1) pos from tt),
+ tn as (select "row", word, count(*) n, min(pos) f from tx where length(word) >= 3 and regexp_full_match(word, '\\p{{L}}+') and word not in {TEXT_STOPS_SQL} group by 1, 2),
+ tp as (select "row", word from tn qualify row_number() over (partition by "row" order by n desc, f) <= 15)""",
+        select=f'select "row", unnest({KEYWORDS_TOPIC}) term from bg union select "row", word from tp',
+    ),
     "label_truncation": q(select="select distinct periodical, case when length(periodical) > 28 then substr(periodical, 1, 28) || '...' else periodical end \"label\" from bg where periodical is not null"),
     "union_by_name": q(select="select is_target, count(*) n_rows, count(id) n_ids from bg group by 1"),
     "top_n_periodicals": q(select="select periodical, count(*) n_papers from bg where periodical is not null group by 1 order by 2 desc, 1 limit 10"),
@@ -188,23 +206,29 @@ REFERENCE = {
     "graph_nodes": q(SCORES, select="select id, 'paper' \"type\", len(refs)::integer n_references, round(d, 6) disruption_index from newest left join scores using (id)"),
     "graph_edges": q(GRAPH, select='select dst "source", src target from edges'),
     "pair_timeline": q(TIMELINE_H, select="select * from tl"),
-    "pair_timeline_recent": q(TIMELINE_H, select="select * from tl where first_year >= 2020 order by first_year, k1, k2 limit 5"),
+    "pair_timeline_recent": q(TIMELINE_H, select="select * from tl where first_year >= 2022 order by first_year, k1, k2 limit 5"),
+    "pair_timeline_earliest": q(TIMELINE_H, select="select * from tl order by first_year, k1, k2 limit 5"),
     "paper_novelty_h": q(NOVELTY_H, select='select "row", n_pairs, n_novel, round(nv, 6) novelty from nov'),
     "periodical_novelty_h": q(NOVELTY_H, select="select coalesce(periodical, 'Unknown') periodical, round(avg(nv), 6) novelty_mean, round(stddev_pop(nv), 6) novelty_std, count(*) n_papers, round(avg(nv) * 600, 4) percent_score from nov group by 1"),
     "paper_novelty_i": q(NOVELTY_I, select="select id, n_pairs, n_novel, round(nv, 6) novelty from nov"),
     "periodical_novelty_i": q(NOVELTY_I, select="select periodical, round(avg(nv), 6) novelty_mean from nov where periodical is not null group by 1"),
-    "novel_pair_drilldown": q(REF_H, select=f"select k1, k2, first_year, coalesce(abs(ref.y - first_year) <= 1, false) novel from ({pairs('(from kw where \"row\" = 1)', '1 one')}) left join tl using (k1, k2), ref"),
-    "keyword_corpus_stats": q(TIMELINE_H, select="select count(*) n_papers, count(*) filter (where len(k) > 0) n_with_keywords, sum(len(k))::bigint n_keywords, count(*) filter (where \"year\" is null) n_without_year, (select count(distinct x) from (select unnest(k) x from kw)) n_distinct from kw"),
+    "novel_pair_drilldown": q(REF_H, select=f"select p.\"row\", k1, k2, first_year, coalesce(abs(ref.y - first_year) <= 1, false) novel from ({pairs('(from kw where is_target)', chr(34) + 'row' + chr(34))}) p left join tl using (k1, k2), ref"),
+    "keyword_corpus_stats": q(TIMELINE_H, select="select count(*) n_papers, count(*) filter (where len(k) > 0) n_with_keywords, sum(len(k))::bigint n_keywords, count(*) filter (where \"year\" is null) n_without_year, count(*) filter (where \"year\" is null and len(k) > 1) n_skipped, (select count(distinct x) from (select unnest(k) x from kw)) n_distinct, (select count(*) from tl) n_pairs, (select sum(len(" + DOIS + "))::bigint from bg) n_dois from kw"),
     "cooc_in": q(CATS, counts("pc", 2), select="select * from cc"),
     "salton_similarity": q(CATS, counts("pc", 2), SALTON, select="select i, j, round(s, 6) s from sim"),
     "rao_stirling": q(TD_IN, select='select "row", round(rs, 6) diversity from td'),
     "td_in": q(TD_IN, select='select "row", round(case when rs > 0 then 1 / rs else 1.0 end, 4) td from td'),
-    "periodical_td_in": q(TD_IN, select="select periodical, round(avg(t), 4) td_mean, round(stddev_samp(t), 4) td_std, count(*) n_papers from (select periodical, case when rs > 0 then 1 / rs else 1.0::double end t from td) where periodical is not null group by 1"),
+    "periodical_td_in": q(TD_IN, select="select periodical, round(avg(t), 4) td_mean, round(stddev_samp(t), 4) td_std, round(avg(round(t * 5, 1)), 4) percent_mean, round(stddev_samp(round(t * 5, 1)), 4) percent_std, count(*) n_papers from (select periodical, case when rs > 0 then 1 / rs else 1.0::double end t from td) where periodical is not null group by 1"),
     "cooc_ku": q(KU, select="select * from cc"),
     "td_ku": q(TD_KU, select='select "row", round(td, 6) td from td'),
     "periodical_td_ku": q(TD_KU, select="select periodical, round(avg(td), 4) td_mean from td where periodical is not null group by 1"),
-    "similarity_matrix_wide": q(CATS, counts("pc", 2), SALTON, select="select i category, " + ", ".join(f"round(coalesce(max(s) filter (where j = '{n}'), 0.0), 6) s{k}" for k, n in enumerate(("Optics, Free-Space", "Sleep Research", "Soil Physics"))) + " from sim where j in ('Optics, Free-Space', 'Sleep Research', 'Soil Physics') group by 1"),
-    "field_match_exact": q(WORDS, select="select * from fm"),
+    "similarity_matrix_wide": q(
+        CATS, counts("pc", 2), SALTON, "names as (select i category, row_number() over (order by i) - 1 place from norm)",
+        "cells as (select a.category, a.place::integer place, 's' || b.place k, round(coalesce(s, 0.0), 6) s from names a cross join names b left join sim on sim.i = a.category and sim.j = b.category)",
+        select="select * from (pivot cells on k using first(s) group by category, place)",
+    ),
+    "field_match_exact": q(EXACT, select="select * from ex"),
+    "field_match_fuzzy": q(WORDS, select="select * from fm"),
     "field_shares": q(SHARES, select='select "row", field, n, round(share, 6) share from fs'),
     "paper_entropy": q(SHARES, select='select "row", n_fields, round(e, 6) entropy from ent'),
     "periodical_entropy": q(SHARES, select="select coalesce(periodical, 'Unknown') periodical, round(avg(coalesce(e, 0)), 6) entropy_mean, round(avg(coalesce(n_fields, 0)), 6) fields_mean, count(*) n_papers, round(avg(coalesce(e, 0)) * 500, 3) percent_score from bg left join ent using (\"row\") group by 1"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.citations import with_cited_keys
 from citeloom.functions.text import pick, plain_form
-from citeloom.operators.orphans import orphan_counts, orphan_references
+from citeloom.operators.orphans import orphan_period_counts, orphan_references
 from citeloom.operators.packed_fields import unpack_fields
 from citeloom.operators.skew import compress, key_percentile, key_stats, key_sums
 from citeloom.session import materialize
@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_orphans_by_month(spark: SparkSession, sf: str) -> DataFrame:
-    return orphan_counts(p2_rows(spark, sf))
+    return orphan_period_counts(table(spark, sf, "data_with_citing"), table(spark, sf, "target_data"), table(spark, sf, "withdrawn_papers"))
 
 
 def _titles(spark: SparkSession, sf: str) -> DataFrame:

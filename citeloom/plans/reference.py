@@ -21,12 +21,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def background(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-73: rows of both exports, the earlier one first by row_no; absent texts are null."""
+    """OP-73: rows of both exports; absent texts are null.
+
+    `row_no` orders them, the earlier export first; `row` names a row of either export, twice its number
+    there and one more in the later export.
+    """
     old = pick(table(spark, sf, "target_data"), FIELDS | {"row_no": "row_no"})
-    new = pick(table(spark, sf, "data_with_citing"), FIELDS | {"row_no": "record_id"}).withColumn("row_no", F.col("row_no") + 1_000_000)
+    new = pick(table(spark, sf, "data_with_citing"), FIELDS | {"row_no": "record_id"})
     rows = old.withColumn("is_target", F.lit(True)).unionByName(new.withColumn("is_target", F.lit(False)), allowMissingColumns=True)
     gone = lambda c: F.when(~c.isin("", "nan"), c)
-    return rows.withColumns({"id": gone(F.col("doi")), "periodical": gone(F.col("title")), "year": P.year_of(F.col("typed_year")), "row": F.col("row_no")})
+    return rows.withColumns({"id": gone(F.col("doi")), "periodical": gone(F.col("title")), "year": P.year_of(F.col("typed_year")),
+        "row": 2 * F.col("row_no") + (~F.col("is_target")).cast("int"), "row_no": F.struct(~F.col("is_target"), "row_no"),
+    })
 
 
 def target(rows: DataFrame) -> DataFrame:
@@ -53,6 +59,7 @@ keywords_parse_theme = _parsed("typed_keywords", P.keywords_of_themes)
 keywords_parse_notebook = _parsed("typed_keywords", lambda c: P.keywords_of_themes(c, "whole"))
 categories_parse = _parsed("typed_categories", P.categories_list)
 refs_parse = _parsed("citing", lambda c: F.array_sort(P.refs_of_literal(c)))
+refs_parse_repeats = _parsed("citing", P.refs_with_repeats)
 refs_parse_lenient = _parsed("citing", P.refs_lenient)
 doi_extract = _parsed("citations", P.dois_of_text)
 
@@ -190,9 +197,10 @@ def _keywords_h(spark, sf) -> DataFrame:
     return background(spark, sf).withColumn("keywords", P.keywords_by_first_separator(F.col("typed_keywords"))).select("row", "id", "periodical", "year", "keywords", "is_target")
 
 
-def _keywords_i(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rows = background(spark, sf).withColumn("keywords", P.keywords_without_stops(F.col("typed_keywords"))).select("row_no", "id", "periodical", "year", "keywords", "is_target")
-    return novelty.papers_by_doi(rows), novelty.papers_by_doi(target(rows)).withColumn("row", F.col("id"))
+def _keywords_i(spark, sf) -> tuple[DataFrame, DataFrame, int]:
+    """Papers by DOI of all rows and of the target's, and the target's last year."""
+    rows = background(spark, sf).withColumn("keywords", P.keywords_without_stops(F.col("typed_keywords"))).select("row", "row_no", "id", "periodical", "year", "keywords", "is_target")
+    return novelty.papers_by_doi(rows), novelty.papers_by_doi(target(rows)).withColumn("row", F.col("id")), _last_year(target(rows))
 
 
 def _last_year(rows: DataFrame) -> int:
@@ -204,7 +212,11 @@ def pair_timeline(spark, sf):
 
 
 def pair_timeline_recent(spark, sf):
-    return novelty.timeline(_keywords_h(spark, sf)).where("first_year >= 2020").orderBy("first_year", "k1", "k2").limit(5)
+    return novelty.timeline_report(novelty.timeline(_keywords_h(spark, sf)), since=2022)
+
+
+def pair_timeline_earliest(spark, sf):
+    return novelty.timeline_report(novelty.timeline(_keywords_h(spark, sf)))
 
 
 def _novelty_h(spark, sf) -> DataFrame:
@@ -222,8 +234,8 @@ def periodical_novelty_h(spark, sf):
 
 
 def _novelty_i(spark, sf) -> DataFrame:
-    every, mine = _keywords_i(spark, sf)
-    return novelty.paper_novelty(mine, novelty.timeline(every), _last_year(mine), absolute=True).join(mine.select("row", "periodical"), "row")
+    every, mine, last = _keywords_i(spark, sf)
+    return novelty.paper_novelty(mine, novelty.timeline(every), last, absolute=True).join(mine.select("row", "periodical"), "row")
 
 
 def paper_novelty_i(spark, sf):
@@ -236,18 +248,19 @@ def periodical_novelty_i(spark, sf):
 
 def novel_pair_drilldown(spark, sf):
     rows = _keywords_h(spark, sf)
-    return novelty.drill_down(target(rows), novelty.timeline(rows), 1, _last_year(target(rows)))
+    return novelty.drill_down(target(rows), novelty.timeline(rows), None, _last_year(target(rows)))
 
 
 def keyword_corpus_stats(spark, sf):
-    return novelty.corpus_stats(_keywords_h(spark, sf))
+    rows = background(spark, sf).select("year", P.keywords_by_first_separator(F.col("typed_keywords")).alias("keywords"), P.dois_of_text(F.col("citations")).alias("dois"))
+    return novelty.corpus_stats(rows, novelty.timeline(rows))
 
 
 # Diversity
 
 def _categories(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Categories of each paper (the last row with any), and the targets' references."""
-    rows = background(spark, sf).withColumns({"categories": P.categories_list(F.col("typed_categories")), "refs": P.refs_of_literal(F.col("citing"))})
+    rows = background(spark, sf).withColumns({"categories": P.categories_list(F.col("typed_categories")), "refs": P.refs_with_repeats(F.col("citing"))})
     named = rows.where(F.size("categories") > 0)
     return citation.last_row(named.select("id", "categories", "row_no"), "id", "categories"), target(rows).select("row", "periodical", "refs")
 
@@ -278,7 +291,7 @@ def td_in(spark, sf):
 
 def periodical_td_in(spark, sf):
     rows = _td_in(spark, sf).withColumn("td", diversity.td_from_diversity(F.col("z"), F.col("n_categories"))).where("periodical is not null")
-    return rows.groupBy("periodical").agg(F.round(F.avg("td"), 4).alias("td_mean"), F.round(F.stddev_samp("td"), 4).alias("td_std"), F.count("*").alias("n_papers"))
+    return diversity.periodical_td(rows).select("periodical", *(F.round(c, 4).alias(c) for c in ("td_mean", "td_std", "percent_mean", "percent_std")), "n_papers")
 
 
 def _ku(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -382,10 +395,10 @@ def theme_prompt(spark, sf):
 
 
 NAMES = (
-    "keywords_parse_h keywords_parse_i keywords_parse_topic keywords_parse_theme keywords_parse_notebook categories_parse refs_parse refs_parse_lenient doi_extract doi_normalise "
+    "keywords_parse_h keywords_parse_i keywords_parse_topic keywords_parse_theme keywords_parse_notebook categories_parse refs_parse refs_parse_repeats refs_parse_lenient doi_extract doi_normalise "
     "conference_filter year_filter text_clean doc_top_terms term_source_both label_truncation union_by_name top_n_periodicals semi_join_target clean_pipeline dup_doi_last_wins first_row_per_doi "
     "edges_explode citers_two_hop dindex_components dindex_paper dindex_nulldoi_merge periodical_disruption_mean periodical_enhanced_topk periodical_percent_rank ranking_summary graph_nodes graph_edges "
-    "pair_timeline pair_timeline_recent paper_novelty_h periodical_novelty_h paper_novelty_i periodical_novelty_i novel_pair_drilldown keyword_corpus_stats "
+    "pair_timeline pair_timeline_recent pair_timeline_earliest paper_novelty_h periodical_novelty_h paper_novelty_i periodical_novelty_i novel_pair_drilldown keyword_corpus_stats "
     "cooc_in salton_similarity rao_stirling td_in periodical_td_in cooc_ku td_ku periodical_td_ku similarity_matrix_wide "
     "field_match_exact field_match_fuzzy field_shares paper_entropy periodical_entropy periodical_keyword_counts periodical_topk_keywords theme_prompt"
 ).split()

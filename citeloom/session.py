@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +42,9 @@ def work_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    local = "file://" + tempfile.mkdtemp(prefix="citeloom-")
+    folder = tempfile.mkdtemp(prefix="citeloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    local = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
@@ -48,15 +53,33 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet under the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs no recomputation of what came before, and
-    several consumers share one computation. The files go when the driver ends.
+    several consumers share one computation. The files go at the end of the innermost `tables_removed`
+    block around the call, or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/citeloom-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def tables_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what operators wrote inside; results have to be written or collected before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

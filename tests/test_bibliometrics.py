@@ -1,8 +1,9 @@
 """Hand-computed cases of the bibliometric operators."""
 
+import difflib
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,51 @@ def test_rankings(spark):
     assert [r.periodical for r in ranking.head(df, "s", 2).collect()] == ["c", "a"]
     only = ranking.summary(df.where("periodical = 'a'"), "s").first()
     assert (only.n, only["mean"], only["std"]) == (1, 1.0, None)
+
+
+def test_papers_without_an_identifier_stand_alone(spark):
+    rows = spark.createDataFrame([(4, None, ["a1", "b1"], 2020, "j", 1), (6, None, ["a1", "c1"], 2021, "j", 2), (8, "x", ["a1"], 2021, "j", 3), (10, "x", ["b1"], 2022, "k", 4)], "row long, id string, keywords array<string>, year int, periodical string, row_no int")
+    got = {r.id: (r.keywords, r.year, r.periodical) for r in novelty.papers_by_doi(rows).collect()}
+    assert got == {"paper_4": (["a1", "b1"], None, None), "paper_6": (["a1", "c1"], None, None), "x": (["b1"], 2021, "j")}
+
+
+def test_timeline_reports_and_counters(spark):
+    papers = spark.createDataFrame([(["a1", "b1", "a1"], 2023, ["d"]), (["a1", "c1"], 2020, []), (["x", "y"], None, ["d", "e"]), (["x"], None, None), (None, 2021, None)], "keywords array<string>, year int, dois array<string>")
+    first = novelty.timeline(papers)
+    assert [(r.k1, r.k2) for r in novelty.timeline_report(first, 2).collect()] == [("a1", "c1"), ("a1", "a1")]
+    assert [(r.k1, r.k2) for r in novelty.timeline_report(first, since=2022).collect()] == [("a1", "a1"), ("a1", "b1")]
+    stats = novelty.corpus_stats(papers, first).first().asDict()
+    assert stats == {"n_papers": 5, "n_with_keywords": 4, "n_keywords": 8, "n_without_year": 2, "n_skipped": 1, "n_dois": 3, "n_distinct": 5, "n_pairs": 3}
+
+
+def test_periodical_td(spark):
+    rows = spark.createDataFrame([("j", 1.0), ("j", 2.03), ("k", 1.0), (None, 9.0)], "periodical string, td double")
+    got = {r.periodical: (round(r.td_mean, 4), r.percent_mean, r.percent_std and round(r.percent_std, 4), r.n_papers) for r in diversity.periodical_td(rows).collect()}
+    assert got["j"][:2] == (1.515, pytest.approx(7.55)) and got["k"] == (1.0, 5.0, None, 1) and set(got) == {"j", "k"}
+
+
+def test_ranks_over_many_parts(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(1000).select(F.format_string("n%04d", "id").alias("periodical"), F.when(F.col("id") % 7 > 0, (F.col("id") % 50).cast("double")).alias("s"))
+        got = [(r.periodical, r.s) for r in ranking.ranked(df, "s").orderBy("rank").collect()]
+        assert got == sorted(((r.periodical, r.s) for r in df.collect()), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+        assert [r["rank"] for r in ranking.ranked(df, "s").orderBy("rank").collect()] == list(range(1, 1001))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert ranking.ranked(df.limit(0), "s").count() == 0
+
+
+def test_long_dictionaries_go_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    made = ["".join(rng.choices("abcdef", k=rng.randint(3, 9))) for _ in range(60)]
+    terms = spark.createDataFrame([(rng.choice("xyz"), t) for t in made] + [(None, "abc"), ("x", None)], "field string, term string")
+    words = spark.createDataFrame([(w[: rng.randint(2, 9)] + rng.choice(["", "a", "zz"]),) for w in made] + [(None,), ("",), ("É" * 3000,)], "keyword string")
+    one = Counter(map(tuple, entropy.match_fields(words, terms).collect()))
+    monkeypatch.setattr(entropy, "TERMS_A_BLOCK", 20)
+    monkeypatch.setattr(entropy, "WORDS_A_GROUP", 10)
+    assert Counter(map(tuple, entropy.match_fields(words, terms).collect())) == one and len(one) > 40
+    pairs = [(r.field, r.term) for r in terms.collect() if r.field and r.term]
+    for (w,) in {tuple(r) for r in words.where("keyword <> ''").collect()}:
+        want = {f for f, t in pairs if t == w} or {f for f, t in pairs if difflib.SequenceMatcher(None, w, t).ratio() >= 0.75}
+        assert {f for k, f in one if k == w.lower()} >= want if w.islower() else True

@@ -107,3 +107,18 @@ def test_no_task_gets_most_rows_of_a_hot_key(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("held", [3, 10**6])
+def test_counts_from_counts(spark, monkeypatch, held):
+    monkeypatch.setattr(orphans, "HEAVY_KEYS", 3)
+    monkeypatch.setattr(orphans, "HELD", held)
+    rng = random.Random(11)
+    day = lambda: rng.choice([None, T(2021, 1, 1) + dt.timedelta(hours=rng.randint(0, 3000))])
+    rows = [(n, rng.choice([None, "", *(f"10.1/p{k}" for k in range(20))]), "; ".join(["10.1/hub"] * (rng.random() < 0.6) + [f"10.1/p{rng.randint(0, 30)}" for _ in range(rng.randint(0, 4))]), day()) for n in range(200)]
+    rows += [(900, "10.1/hub", None, T(2021, 3, 15, 12))] + rows[:3]
+    df = spark.createDataFrame(rows, "record_id long, DOI string, citing string, loaded_at timestamp")
+    o, g = spark.createDataFrame([("10.1/p3",)], "DOI string"), spark.createDataFrame([("10.1/p4",), ("10.1/p29",)], "DOI string")
+    want = Counter({tuple(r)[:3]: r.n_refs for r in orphans.orphan_counts(orphans.orphan_references(df, o, g)).collect()})
+    assert Counter({tuple(r)[:3]: r.n_refs for r in orphans.orphan_period_counts(df, o, g).collect()}) == want and len(want) > 8
+    assert orphans.orphan_period_counts(df.limit(0), o, g).count() == 0
