@@ -57,7 +57,7 @@ def with_references(df: DataFrame, text: str, out: str = "refs") -> DataFrame:
     return df.withColumn(out, dois_of_text(F.col(text)))
 
 
-def clean(papers: DataFrame, cleaning: Cleaning, title: str = "paper_title") -> tuple[DataFrame, DataFrame]:
+def clean(papers: DataFrame, cleaning: Cleaning, title: str = "title") -> tuple[DataFrame, DataFrame]:
     """(background, target): rows (periodical, year, title, ...) without conference papers and early years; of the listed periodicals, or else of the largest."""
     kept = papers.where(~is_conference(F.col(title))) if cleaning.drop_conference else papers
     kept = from_year(kept, cleaning.min_year)

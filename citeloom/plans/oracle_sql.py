@@ -161,7 +161,7 @@ THEMES = f"""th as (select periodical, row_no, {keywords_theme(NONE)} k from bg
  tt as (select *, row_number() over (partition by periodical order by n desc, f) place from tc qualify place <= 5)"""
 CLEAN = r"""case when text is null then '' else trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'http[^\s\p{Z}]+|www[^\s\p{Z}]+', '', 'g'), '\p{Nd}+', '', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) end"""
 TEXT_STOPS_SQL = "(" + ", ".join(map(lit, TEXT_STOPS)) + ")"
-CONFERENCE = "coalesce(" + " or ".join(f"contains(upper(\"name\"), {lit(w)})" for w in CONFERENCE_WORDS) + " or regexp_matches(\"name\", '20[0-9]{2}'), false)"
+CONFERENCE = "coalesce(" + " or ".join(f"contains(upper(title), {lit(w)})" for w in CONFERENCE_WORDS) + " or regexp_matches(title, '20[0-9]{2}'), false)"
 
 REFERENCE = {
     "keywords_parse_h": parsed(KEYWORDS_H),
@@ -175,7 +175,7 @@ REFERENCE = {
     "refs_parse_lenient": parsed(REFS_LENIENT),
     "doi_extract": parsed(DOIS),
     "doi_normalise": q(select=f'select "row", {BARE("id")} doi from bg where id is not null'),
-    "conference_filter": q(select=f'select "row", "name" title from bg where not {CONFERENCE}'),
+    "conference_filter": q(select=f'select "row", title from bg where not {CONFERENCE}'),
     "year_filter": q(select='select "row", "year" from bg where "year" >= 2010'),
     "text_clean": f"select doc_id, {CLEAN} cleaned from documents",
     "doc_top_terms": f"""with c as (select doc_id, string_split({CLEAN}, ' ') w from documents), x as (select doc_id, unnest(w) word, generate_subscripts(w, 1) pos from c),
@@ -192,6 +192,8 @@ REFERENCE = {
     "top_n_periodicals": q(select="select periodical, count(*) n_papers from bg where periodical is not null group by 1 order by 2 desc, 1 limit 10"),
     "semi_join_target": q(select='select "row", periodical from bg where exists (select 1 from bg t where t.is_target and t.periodical is not distinct from bg.periodical)'),
     "clean_pipeline": q(f'kept as (select * from bg where not {CONFERENCE} and "year" >= 2000)', select="select periodical, count(*) n_papers, min(\"year\") first_year from kept where periodical is not null group by 1 order by 2 desc, 1 limit 5"),
+    "clean_listed": q(select='select "row", periodical from bg where periodical in (select periodical from bg where is_target)'),
+    "csv_round_trip": 'select record_id, "DOI" doi, "Source Title" title, "Publication Year" "year", "Keywords" keywords, citing from data_with_citing',
     "dup_doi_last_wins": q(select="select id, typed_categories category from bg where id is not null qualify row_number() over (partition by id order by row_no desc) = 1"),
     "first_row_per_doi": q(select="select id, periodical from bg where id is not null qualify row_number() over (partition by id order by row_no) = 1"),
     "edges_explode": q(DISTINCT_REFS, select="select distinct id src, unnest(refs) dst from g where id is not null"),

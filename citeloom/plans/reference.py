@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import parsing as P
 from citeloom.functions.text import pick
 from citeloom.operators import citation, diversity, entropy, ingest, novelty, ranking, themes
-from citeloom.session import materialize
+from citeloom.session import discard, materialize, work_dir
+from citeloom.sources import readers, sinks
 
 FIELDS = {
     "doi": "DOI", "title": "Source Title", "typed_year": "Publication Year", "typed_keywords": "Keywords", "typed_categories": "WoS Categories", "citing": "citing",
@@ -69,7 +72,7 @@ def doi_normalise(spark, sf):
 
 
 def conference_filter(spark, sf):
-    return background(spark, sf).where(~P.is_conference(F.col("name"))).select("row", F.col("name").alias("title"))
+    return background(spark, sf).where(~P.is_conference(F.col("title"))).select("row", "title")
 
 
 def year_filter(spark, sf):
@@ -112,10 +115,28 @@ def semi_join_target(spark, sf):
 
 
 def clean_pipeline(spark, sf):
-    kept, chosen = ingest.clean(background(spark, sf).withColumnsRenamed({"name": "paper_title"}), ingest.Cleaning(min_year=2000, top_n=5))
+    _, chosen = ingest.clean(background(spark, sf), ingest.Cleaning(min_year=2000, top_n=5))
     return chosen.groupBy("periodical").agg(F.count("*").alias("n_papers"), F.min("year").alias("first_year"))
 
 
+def clean_listed(spark, sf):
+    """OP-18: the target is the periodicals of a list, here those of the earlier export."""
+    rows = background(spark, sf)
+    listed = tuple(r[0] for r in target(rows).where("periodical is not null").select("periodical").distinct().collect())  # a configured list
+    return ingest.clean(rows, ingest.Cleaning(drop_conference=False, target_periodicals=listed))[1].select("row", "periodical")
+
+
+def csv_round_trip(spark, sf):
+    """OP-01, OP-05, OP-13, OP-14: the export written as CSV under other names, read back and renamed."""
+    other = {"DOI": "doi ", "Source Title": "Publication Title", "Keywords": "Author Keywords", "citing": "citing", "Publication Year": "Year"}
+    path = f"{work_dir(spark)}/citeloom-csv-{uuid.uuid4().hex}"
+    sinks.write_large_csv(table(spark, sf, "data_with_citing").select("record_id", *(F.col(f"`{a}`").alias(b) for a, b in other.items())), path)
+    discard(spark, path)
+    aliases = {"DOI": ["DOI", "doi"], "Source Title": ["Source Title", "Publication Title"], "Keywords": ["Keywords", "Author Keywords"], "Publication Year": ["Publication Year", "Year"], "citing": ["citing"]}
+    back = readers.read_papers(readers.read_csv(spark, path), aliases)
+    return back.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("DOI").alias("doi"), F.col("Source Title").alias("title"), F.col("Publication Year").alias("year"), F.col("Keywords").alias("keywords"), "citing")
+
+
 def dup_doi_last_wins(spark, sf):
     return citation.last_row(background(spark, sf), "id", "typed_categories").select("id", F.col("typed_categories").alias("category"))
 
@@ -396,7 +417,7 @@ def theme_prompt(spark, sf):
 
 NAMES = (
     "keywords_parse_h keywords_parse_i keywords_parse_topic keywords_parse_theme keywords_parse_notebook categories_parse refs_parse refs_parse_repeats refs_parse_lenient doi_extract doi_normalise "
-    "conference_filter year_filter text_clean doc_top_terms term_source_both label_truncation union_by_name top_n_periodicals semi_join_target clean_pipeline dup_doi_last_wins first_row_per_doi "
+    "conference_filter year_filter text_clean doc_top_terms term_source_both label_truncation union_by_name top_n_periodicals semi_join_target clean_pipeline clean_listed csv_round_trip dup_doi_last_wins first_row_per_doi "
     "edges_explode citers_two_hop dindex_components dindex_paper dindex_nulldoi_merge periodical_disruption_mean periodical_enhanced_topk periodical_percent_rank ranking_summary graph_nodes graph_edges "
     "pair_timeline pair_timeline_recent pair_timeline_earliest paper_novelty_h periodical_novelty_h paper_novelty_i periodical_novelty_i novel_pair_drilldown keyword_corpus_stats "
     "cooc_in salton_similarity rao_stirling td_in periodical_td_in cooc_ku td_ku periodical_td_ku similarity_matrix_wide "

@@ -59,11 +59,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/citeloom-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    discard(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Have a path removed when its time comes, as `materialize` does."""
     if _scopes:
         _scopes[-1].append(path)
     else:
         atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 _scopes: list[list[str]] = []

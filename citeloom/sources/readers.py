@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from pathlib import Path
-
+import io
+import re
+import zipfile
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.operators.ingest import find_column, map_columns
+from citeloom.session import materialize
 
 #: The paper export; every field as typed, to be parsed by the operators.
 PAPER_EXPORT = T.StructType([T.StructField(n, T.StringType()) for n in ("DOI", "Source Title", "Publication Year", "Keywords", "WoS Categories", "citing", "Cited References", "Article Title", "Abstract", "Affiliations")])
@@ -27,34 +33,80 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return df.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else df
 
 
+def _cell_column(reference: str) -> int:
+    """Column number of a cell reference like `BC12`."""
+    n = 0
+    for c in reference:
+        if not c.isalpha():
+            break
+        n = n * 26 + ord(c.upper()) - 64
+    return n - 1
+
+
+def _workbook_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of the first sheet of an `.xlsx` workbook, every cell as text."""
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in names:
+            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
+            shared = ["".join(t.text or "" for t in item.iter(f"{space}t")) for item in root.iter(f"{space}si")]
+        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        with book.open(sheet) as text:
+            for _, row in ElementTree.iterparse(text):
+                if row.tag != f"{space}row":
+                    continue
+                cells: dict[int, str] = {}
+                for k, cell in enumerate(row.iter(f"{space}c")):
+                    kind, value = cell.get("t", "n"), cell.findtext(f"{space}v")
+                    if kind == "inlineStr":
+                        value = "".join(t.text or "" for t in cell.iter(f"{space}t"))
+                    elif value is not None and kind == "s":
+                        value = shared[int(value)]
+                    elif value is not None and kind == "b":
+                        value = str(value == "1")
+                    if value is not None and kind != "e":
+                        cells[_cell_column(cell.get("r", "")) if cell.get("r") else k] = value
+                yield [cells.get(k) for k in range(max(cells, default=-1) + 1)]
+                row.clear()
+
+
 def read_excel_folder(spark: SparkSession, folder: str, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
     """OP-02: all `*.xls*` files of a folder, columns with an exactly known name only, and source_file.
 
-    Files without a known column and unreadable files are skipped; none at all raises. Spark has no
-    Excel source, so the files are read on the driver; needs an Excel engine of pandas.
+    Files are read by the executors, one task's work each: `.xlsx` with the standard library, older ones
+    with an Excel engine of pandas where there is one. Files without a known column and unreadable files
+    are skipped; none at all raises. Of equal column names in a file the last counts.
     """
-    import pandas as pd
-
     known = {a for names in aliases.values() for a in names}
-    frames, schema = [], None
-    for path in sorted(Path(folder).glob("*.xls*")):
-        try:
-            columns = [c for c in pd.read_excel(path, nrows=0).columns if c in known]
-            if not columns:
-                continue
-            frame = pd.read_excel(path, usecols=columns, dtype=str)
-        except Exception as e:
-            print(f"skipped {path.name}: {e}")
-            continue
-        frame = frame.astype(object).where(frame.notna(), None)
-        schema = T.StructType([T.StructField(str(c), T.StringType()) for c in frame.columns])
-        frames.append(spark.createDataFrame(frame.values.tolist(), schema).withColumn("source_file", F.lit(path.name)))
-    if not frames:
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                name = unquote(path.rsplit("/", 1)[-1])
+                try:
+                    if name.lower().endswith(".xls"):
+                        sheet = pd.read_excel(io.BytesIO(content), dtype=str, header=None)
+                        rows = iter(sheet.astype(object).where(sheet.notna(), None).values.tolist())
+                    else:
+                        rows = _workbook_rows(content)
+                    at = {k: c for k, c in enumerate(next(rows, [])) if c in known}
+                    out = [{c: row[k] for k, c in at.items() if k < len(row) and row[k] is not None} for row in rows] if at else []
+                except Exception as e:
+                    print(f"skipped {name}: {e}")
+                    continue
+                if at:
+                    header = [{"source_file": name, "header": list(at.values()), "cells": None}]
+                    yield pd.DataFrame(header + [{"source_file": name, "header": None, "cells": r} for r in out if r])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(folder).select("path", "content")
+    read = materialize(files.repartition(max(1, files.select("path").count())).mapInPandas(run, "source_file string, header array<string>, cells map<string,string>"))
+    found = {r[0] for r in read.select(F.explode("header")).distinct().collect()}  # known names only
+    if not found:
         raise ValueError(f"no readable file in {folder}")
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
+    names = [a for aliases_ in aliases.values() for a in dict.fromkeys(aliases_) if a in found]
+    return read.where("cells is not null").select(*(F.col("cells")[a].alias(a) for a in dict.fromkeys(names)), "source_file")
 
 
 def jdbc_options(database: Mapping[str, object]) -> dict[str, str]:
@@ -72,8 +124,16 @@ def jdbc_options(database: Mapping[str, object]) -> dict[str, str]:
 
 
 def read_database(spark: SparkSession, database: Mapping[str, object], aliases: Mapping[str, Sequence[str]]) -> DataFrame:
-    """OP-03: a table or query; only columns with a known alias if there are any. Spark pushes the column list and filters down."""
-    df = spark.read.format("jdbc").options(**jdbc_options(database)).load()
+    """OP-03: a table or query; only columns with a known alias if there are any. Spark pushes the column list and filters down.
+
+    With a partitionColumn the table is read in parallel; bounds that aren't given are asked of the database.
+    """
+    options = jdbc_options(database)
+    if "partitionColumn" in options and "lowerBound" not in options:
+        ends = spark.read.format("jdbc").options(**{k: v for k, v in options.items() if k not in ("partitionColumn", "numPartitions")}).load()
+        low, high = ends.agg(F.min(options["partitionColumn"]), F.max(options["partitionColumn"])).first()
+        options |= {"lowerBound": str(low or 0), "upperBound": str(high or 0), "numPartitions": options.get("numPartitions", "16")}
+    df = spark.read.format("jdbc").options(**options).load()
     known = [c for names in aliases.values() if (c := find_column(df.columns, names))]
     return df.select(*(F.col(f"`{c}`") for c in dict.fromkeys(known))) if known else df
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
             out.writerow(["" if v is None else f"{v:.{decimals}f}" if decimals is not None and isinstance(v, float) else v for v in row])
 
 
+def write_large_csv(df: DataFrame, path: str) -> None:
+    """OP-05 for tables of any size: CSV files in a folder, by Spark, white space kept; read back by `read_csv`."""
+    writer = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def write_scores_json(df: DataFrame, path: str, key: str, value: str) -> None:
     """OP-06: {key: value}, not escaped, indented."""
     Path(path).write_text(json.dumps({r[key]: r[value] for r in _small(df)}, ensure_ascii=False, indent=2), encoding="utf-8")
@@ -62,23 +69,51 @@ def write_matrix(cells: DataFrame, path: str, value: str = "s") -> None:
         out.writerows([a, *(known.get((a, b), 0.0) for b in names)] for a in names)
 
 
-def write_bars(df: DataFrame, path: str, name: str, value: str, title: str = "") -> None:
-    """OP-10: a horizontal bar chart of a ranking; needs matplotlib."""
+def write_bars(df: DataFrame, path: str, name: str, value: str, title: str = "", vertical: bool = False) -> None:
+    """OP-10: a bar chart of a ranking with values at the bars; `.svg` is written as it is, other formats need matplotlib."""
+    rows = [(str(r[0]), float(r[1] or 0)) for r in _small(df.select(name, value))]
+    if path.endswith(".svg"):
+        Path(path).write_text(_svg_bars(rows, title, vertical), encoding="utf-8")
+        return
     import matplotlib
 
     matplotlib.use("Agg")
     from matplotlib import pyplot as plt
 
-    rows = _small(df.select(name, value))
-    fig, ax = plt.subplots(figsize=(9, 0.4 * len(rows) + 1))
-    bars = ax.barh([str(r[0]) for r in rows], [r[1] for r in rows])
+    long = 0.4 * len(rows) + 1
+    fig, ax = plt.subplots(figsize=(long, 6) if vertical else (9, long))
+    bars = (ax.bar if vertical else ax.barh)([r[0] for r in rows], [r[1] for r in rows])
     ax.bar_label(bars, fmt="%.4g")
-    ax.invert_yaxis()
+    if vertical:
+        ax.tick_params(axis="x", rotation=60)
+    else:
+        ax.invert_yaxis()
     ax.set_title(title)
     fig.savefig(path, bbox_inches="tight")
     plt.close(fig)
 
 
+def _svg_bars(rows: list[tuple[str, float]], title: str, vertical: bool) -> str:
+    """Bars of one colour from a common zero, labels at their feet, values at their heads."""
+    text, bar, length = 260, 24, 420
+    most, least = max([v for _, v in rows] + [0.0]), min([v for _, v in rows] + [0.0])
+    scale = length / ((most - least) or 1.0)
+    zero = -least * scale
+    out = []
+    for k, (label, v) in enumerate(rows):
+        at, size, start = k * bar + 40, abs(v) * scale, zero + min(v, 0.0) * scale
+        label, shown = escape(label), f"{v:.4g}"
+        if vertical:
+            x, y = at, 40 + length - start - size
+            out.append(f'<rect x="{x}" y="{y:.1f}" width="{bar - 6}" height="{size:.1f}"/><text x="{x}" y="{y - 4:.1f}">{shown}</text><text transform="translate({x + 4},{length + 56}) rotate(60)">{label}</text>')
+        else:
+            x, y = text + start, at
+            out.append(f'<rect x="{x:.1f}" y="{y}" width="{size:.1f}" height="{bar - 6}"/><text x="{x + size + 4:.1f}" y="{y + 13}">{shown}</text><text x="{text - 6}" y="{y + 13}" text-anchor="end">{label}</text>')
+    long = len(rows) * bar + 60
+    wide, high = (long + 60, length + 60 + text) if vertical else (text + length + 80, long)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{wide}" height="{high}" font-family="sans-serif" font-size="12" fill="#333"><text x="10" y="20" font-size="15">{escape(title)}</text><g fill="#4a7ab5">{"".join(out)}</g></svg>'
+
+
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """OP-11: (extension, n_files, n_bytes) of a folder and all below it, most files first; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
