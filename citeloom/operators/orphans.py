@@ -109,11 +109,11 @@ def orphan_period_counts(papers: DataFrame, earlier: DataFrame, withdrawn: DataF
     month are looked at one by one.
     """
     refs, status = _references(papers, earlier, withdrawn, id_column, doi_column, refs_column, time_column)
-    refs, status = materialize(refs.select("key", "at", F.trunc("at", "month").alias("period"))), materialize(status)
+    refs = materialize(refs.select("key", "at", F.trunc("at", "month").alias("period")))
     groups = materialize(refs.select("key", "period").mapInArrow(_per_period, "key string, period date, n bigint"))
     heavy = F.broadcast(heavy_keys(groups, least=HEAVY_KEYS, weight="n"))
     met = groups.join(heavy, "key", "left_semi").join(F.broadcast(status.join(heavy, "key", "left_semi")), "key", "left")
-    met = met.unionByName(groups.join(heavy, "key", "left_anti").join(status, "key", "left"))
+    met = materialize(met.unionByName(groups.join(heavy, "key", "left_anti").join(status, "key", "left")))  # read twice below
 
     # A month's counts have the state of its first day; the month of the first load is taken apart.
     first = F.trunc("first_loaded", "month")
