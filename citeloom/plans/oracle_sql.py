@@ -193,7 +193,7 @@ REFERENCE = {
     "semi_join_target": q(select='select "row", periodical from bg where exists (select 1 from bg t where t.is_target and t.periodical is not distinct from bg.periodical)'),
     "clean_pipeline": q(f'kept as (select * from bg where not {CONFERENCE} and "year" >= 2000)', select="select periodical, count(*) n_papers, min(\"year\") first_year from kept where periodical is not null group by 1 order by 2 desc, 1 limit 5"),
     "clean_listed": q(select='select "row", periodical from bg where periodical in (select periodical from bg where is_target)'),
-    "csv_round_trip": 'select record_id, "DOI" doi, "Source Title" title, "Publication Year" "year", "Keywords" keywords, citing from data_with_citing',
+    "csv_round_trip": "select record_id, " + ", ".join(f"""nullif("{c}", '') {n}""" for c, n in (("DOI", "doi"), ("Source Title", "title"), ("Publication Year", '"year"'), ("Keywords", "keywords"), ("citing", "citing"))) + " from data_with_citing",
     "dup_doi_last_wins": q(select="select id, typed_categories category from bg where id is not null qualify row_number() over (partition by id order by row_no desc) = 1"),
     "first_row_per_doi": q(select="select id, periodical from bg where id is not null qualify row_number() over (partition by id order by row_no) = 1"),
     "edges_explode": q(DISTINCT_REFS, select="select distinct id src, unnest(refs) dst from g where id is not null"),

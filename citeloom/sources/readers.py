@@ -25,7 +25,8 @@ DIALECTS = {"mysql": "jdbc:mysql://{host}:{port}/{database}", "postgresql": "jdb
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """OP-01: a CSV export with a header; text fields may hold line ends and doubled quotes. The schema is fixed, never inferred.
 
-    Without `schema` the header's columns are read as strings. A byte order mark is no part of the first name.
+    Without `schema` the header's columns are read as strings. Empty fields are null, as
+    a CSV file doesn't tell the two apart. A byte order mark is no part of the first name.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
