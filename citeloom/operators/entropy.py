@@ -32,8 +32,8 @@ def _letters(texts: Sequence[str]) -> np.ndarray:
 class Dictionary:
     """Finds the fields of terms whose matching-blocks ratio to a word is at least `least`.
 
-    Common letters and the lengths bound the ratio from above, for many words and all terms at once;
-    only pairs that can reach it are compared. The ratio is asymmetric: word first, term second; what it
+    Common letters and the lengths bound the ratio from above, for many words and all terms at once, and
+    so does the longest common subsequence; only pairs that can reach it are compared. The ratio is asymmetric: word first, term second; what it
     prepares of the second is kept per term.
     """
 
@@ -46,6 +46,21 @@ class Dictionary:
         self.letters = _letters(self.terms)
         self.lengths = np.array([len(t) for t in self.terms], np.int64)
         self.matchers: dict[int, difflib.SequenceMatcher] = {}
+        self.places: list[dict[str, int]] = []
+        for t in self.terms:
+            places: dict[str, int] = {}
+            for k, c in enumerate(t):
+                places[c] = places.get(c, 0) | 1 << k
+            self.places.append(places)
+
+    def _in_order(self, word: str, t: int) -> int:
+        """Length of the longest common subsequence, a bit per letter of the term; matching blocks are one."""
+        places, full = self.places[t], (1 << len(self.terms[t])) - 1
+        left = full
+        for c in word:
+            hit = left & places.get(c, 0)
+            left = (left + hit | left - hit) & full
+        return len(self.terms[t]) - left.bit_count()
 
     def find(self, words: Sequence[str]) -> list[list[str]]:
         """The fields of each word, sorted."""
@@ -63,7 +78,7 @@ class Dictionary:
                 close = 2.0 * np.minimum(letters[i], self.letters[j]).sum(axis=1, dtype=np.int64) >= need[i, j]
                 for w, t in zip(i[close].tolist(), j[close].tolist()):
                     into = found[start + w]
-                    if into.issuperset(self.fields[t]):
+                    if into.issuperset(self.fields[t]) or 2.0 * self._in_order(part[w], t) < need[w, t]:
                         continue
                     matcher = self.matchers.get(t)
                     if matcher is None:
